@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.llm import leak, repetition, tokens, variants
+from sundew.llm import leak, repetition, secrets, tokens, variants
 from sundew.session import table
 
+TEXTS = ["match_text", "context", "context_before", "context_after"]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "findings"), "finding_id", TEXTS).select("finding_id")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with the credentials in their texts replaced."""
+    return secrets.redacted(table(spark, sf_dir, "findings"), "finding_id", TEXTS)
+
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = variants.copies(table(spark, sf_dir, "findings"), "finding_id", "pi_type", "match_text")
@@ -47,6 +58,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
