@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.llm import leak, repetition, secrets, tokens, variants
+from sundew.llm import leak, repetition, secrets, source_files, tokens, variants
 from sundew.session import table
 
 TEXTS = ["match_text", "context", "context_before", "context_after"]
@@ -20,6 +20,18 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "findings"), "finding_id", TEXTS)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_files.not_hand_written(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p4_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository, its hand-written source files: text rows that are nothing else."""
+    files = table(spark, sf_dir, "files")
+    flagged = source_files.not_hand_written(files).select("file_id").distinct()
+    kept = files.where(F.col("file_text").isNotNull()).join(flagged, "file_id", "left_anti")
+    return kept.select("file_id", "repo_url", "rel_path")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = variants.copies(table(spark, sf_dir, "findings"), "finding_id", "pi_type", "match_text")
     return pairs.select(F.col("a").alias("finding_id_a"), F.col("b").alias("finding_id_b"))
@@ -60,6 +72,8 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_hand_written": p4_hand_written,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
