@@ -12,7 +12,7 @@ be a third of all files, are fingerprinted in the join once.  A fingerprint's re
 combining; nothing is collected per group.
 
 Cases: null text under a code extension is a binary under a code extension; other null texts and empty texts are not
-flagged; a null path or repository matches no rule about it; repeated rows get the same result; every fingerprint of a
+flagged; texts of fewer than ``K`` tokens are no evidence of copying; a null path or repository matches no rule about it; repeated rows get the same result; every fingerprint of a
 text counts, however long it is.
 """
 
@@ -124,8 +124,8 @@ def _library(text: str) -> str:
 
 def fingerprints(codes: np.ndarray) -> np.ndarray:
     """Winnowed fingerprints of one token stream: distinct hashes of K tokens, the least of each W in a row."""
-    if len(codes) < K:
-        return mix(np.array([len(codes)], np.uint64) + codes.sum(dtype=np.uint64)) if len(codes) else np.zeros(0, np.uint64)
+    if len(codes) < K:  # too short to be evidence of copying
+        return np.zeros(0, np.uint64)
     n = len(codes) - K + 1
     h = np.zeros(n, np.uint64)
     for i in range(K):
@@ -182,7 +182,7 @@ def look(files: DataFrame) -> DataFrame:
                         codes = mix(np.array(coder.of(TOKEN.findall(COMMENT.sub(" ", text))), np.uint64))
                         prints = fingerprints(codes).astype(np.int64).tolist()
                         weights = mix(np.arange(len(codes), dtype=np.uint64) + np.uint64(5)) | np.uint64(1)
-                        digest = int((codes * weights).sum(dtype=np.uint64).astype(np.int64)) if len(codes) else None
+                        digest = int((codes * weights).sum(dtype=np.uint64).astype(np.int64)) if prints else None
                         name, library = (repo or "").rpartition("/")[2], _library(text)
                         home = bool(name) and name in (_stem(path), library)
                         noticed = bool(library)
