@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.llm import leak, repetition, secrets, source_files, tokens, variants
+from sundew.llm import leak, personal, repetition, secrets, source_files, tokens, variants
 from sundew.session import table
 
 TEXTS = ["match_text", "context", "context_before", "context_after"]
@@ -32,6 +32,15 @@ def p4_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("file_id", "repo_url", "rel_path")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "findings"), "finding_id", "pi_type", TEXTS)
+
+
+def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with the personal details in their texts replaced by their kind."""
+    return personal.masked(table(spark, sf_dir, "findings"), "finding_id", "pi_type", TEXTS)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = variants.copies(table(spark, sf_dir, "findings"), "finding_id", "pi_type", "match_text")
     return pairs.select(F.col("a").alias("finding_id_a"), F.col("b").alias("finding_id_b"))
@@ -74,6 +83,8 @@ QUERIES = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_hand_written": p4_hand_written,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
