@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sundew.llm.words import one_slip
+
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "PERSON")
 TRAINING_ROWS = 1500
 ROUNDS = 6
@@ -171,21 +173,6 @@ def plain_details(text: str, kind: str | None = None) -> list[tuple[int, int, st
     return found
 
 
-def _similar(a: str, b: str) -> bool:
-    """Equal but for one slip (a letter changed, missing, added, or two neighbours swapped)."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    longer, shorter = (a, b) if len(a) > len(b) else (b, a)
-    return longer[i + 1 :] == shorter[i:]
-
-
 _THINGS = frozenset(THING_WORDS)
 _BY_LENGTH: dict[int, list[str]] = {}
 for _t in sorted(_THINGS):
@@ -203,7 +190,7 @@ def is_thing(word: str) -> bool:
     if known is None:
         if len(_THING_MEMORY) > 100_000:
             _THING_MEMORY.clear()
-        known = _THING_MEMORY[word] = any(_similar(word, t) for t in _BY_LENGTH.get(len(word), ()) if t[0] == word[0] or t[1] == word[0] or t[-1] == word[-1])
+        known = _THING_MEMORY[word] = any(one_slip(word, t) for t in _BY_LENGTH.get(len(word), ()) if t[0] == word[0] or t[1] == word[0] or t[-1] == word[-1])
     return known
 
 
@@ -298,7 +285,7 @@ def skip_edges(names: list[str], chains: list[int]) -> tuple[list[tuple[int, int
             skip.append((last[n], i))
         else:
             for size in (len(n) - 1, len(n), len(n) + 1):
-                skip += [(j, i) for m, j in heads.get(size, ()) if _similar(m, n)]
+                skip += [(j, i) for m, j in heads.get(size, ()) if one_slip(m, n)]
             heads.setdefault(len(n), []).append((n, i))
         last[n] = i
     return chain, skip

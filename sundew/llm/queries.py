@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.llm import leak, personal, repetition, secrets, source_files, tokens, variants
+from sundew.llm import history, leak, personal, repetition, secrets, source_files, tokens, variants
 from sundew.session import table
 
 TEXTS = ["match_text", "context", "context_before", "context_after"]
@@ -41,6 +41,17 @@ def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.masked(table(spark, sf_dir, "findings"), "finding_id", "pi_type", TEXTS)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.pivot_table(table(spark, sf_dir, "findings"), table(spark, sf_dir, "scans"))
+    return history.found_before(rows, rows)
+
+
+def p6_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that stay in the accepted history after all batches."""
+    rows = history.pivot_table(table(spark, sf_dir, "findings"), table(spark, sf_dir, "scans"))
+    return rows.join(history.found_before(rows, rows), "finding_id", "left_anti").select("finding_id", "place", "line", "match")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = variants.copies(table(spark, sf_dir, "findings"), "finding_id", "pi_type", "match_text")
     return pairs.select(F.col("a").alias("finding_id_a"), F.col("b").alias("finding_id_b"))
@@ -85,6 +96,8 @@ QUERIES = {
     "p4_hand_written": p4_hand_written,
     "p5_found": p5_found,
     "p5_masked": p5_masked,
+    "p6_found": p6_found,
+    "p6_accepted": p6_accepted,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,

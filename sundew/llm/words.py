@@ -65,3 +65,18 @@ def flat(texts: list[str | None], coder: Coder) -> tuple[np.ndarray, np.ndarray]
             codes += coder.of(WORD.findall(plain(t)))
         starts.append(len(codes))
     return mix(np.array(codes, np.uint64)), np.array(starts, np.int64)
+
+
+def one_slip(a: str, b: str) -> bool:
+    """Equal but for one slip (a letter changed, missing, added, or two neighbours swapped)."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    longer, shorter = (a, b) if len(a) > len(b) else (b, a)
+    return longer[i + 1 :] == shorter[i:]
