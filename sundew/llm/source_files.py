@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sundew.llm.words import Coder, mix
+from sundew.session import durable
 
 K = 24
 W = 8
@@ -218,7 +219,7 @@ def recurring(seen: DataFrame, min_repositories: int, min_share: float) -> DataF
 
 def not_hand_written(files: DataFrame, min_repositories: int = 3, min_share: float = 0.6) -> DataFrame:
     """(file_id, reason): generated, minified, data or vendored; one row per such row of ``files``."""
-    seen = look(files)
+    seen = durable(look(files))  # three uses of one costly look
     vendored = recurring(seen, min_repositories, min_share).withColumnRenamed("digest", "shared")
     joined = seen.drop("prints").join(vendored, F.col("digest") == F.col("shared"), "left")
     copied = (F.col("shared").isNotNull() | F.col("noticed")) & ~F.col("home")
