@@ -178,3 +178,19 @@ def glob_pattern(glob: str) -> str:
             out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else f"\\{c}" if c in r".+()[]{}|^$\\" else c)
             i += 1
     return "".join(out) + "$"
+
+
+def python(pattern: str) -> str:
+    """The same for Python's re with the ASCII flag: only white space differs (a vertical tab is none)."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            pair = pattern[i : i + 2]
+            out.append(pair if pair != r"\s" else r"\t\n\f\r " if in_class else r"[\t\n\f\r ]")
+            i += 2
+            continue
+        in_class = c == "[" or (in_class and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)

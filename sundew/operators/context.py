@@ -71,7 +71,7 @@ def validated(findings: DataFrame, content: str | None = None) -> DataFrame:
     The confidence becomes 0.95 with valid context, else 0.8; the detector's own stays in ``detector_confidence``.
     Dropped are comments with obvious fakes, UUIDs and hashes.
     """
-    lines, line, col = F.col("lines"), F.col("line"), F.col("col")
+    lines, line, col = F.col("lines"), F.col("at"), F.col("col")
     text = spans.line_at(lines, line)
     out = findings.withColumns(
         {

@@ -41,9 +41,9 @@ def detected_cases(cases: DataFrame, findings: DataFrame, case_id: str, kind: st
 
 
 def expected_against_found(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys of both sides with their outcome: TP (both), FN (expected only), FP (found only)."""
-    e = expected.select(*keys).distinct().withColumn("_e", F.lit(True))
-    f = found.select(*keys).distinct().withColumn("_f", F.lit(True))
-    same = [e[k].eqNullSafe(f[k]) for k in keys]
-    outcome = F.when(F.col("_e") & F.col("_f"), "TP").when(F.col("_e"), "FN").otherwise("FP")
-    return e.join(f, same, "full_outer").select(*[F.coalesce(e[k], f[k]).alias(k) for k in keys], outcome.alias("outcome"))
+    """Distinct keys of both sides with their outcome, by one aggregation instead of a full outer join: TP (both), FN (expected only), FP (found only)."""
+    e = expected.select(*keys).withColumns({"_e": F.lit(1), "_f": F.lit(0)})
+    f = found.select(*keys).withColumns({"_e": F.lit(0), "_f": F.lit(1)})
+    both = e.unionByName(f).groupBy(*keys).agg(F.max("_e").alias("_e"), F.max("_f").alias("_f"))
+    outcome = F.when((F.col("_e") == 1) & (F.col("_f") == 1), "TP").when(F.col("_e") == 1, "FN").otherwise("FP")
+    return both.select(*keys, outcome.alias("outcome"))
