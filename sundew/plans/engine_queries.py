@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from sundew.functions import checksums, masking, patterns, spans
 from sundew.operators import context, detect, discovery, evaluate, pairs
 from sundew.session import table
+from sundew.sinks import reports
 from sundew.sources import repositories
+from sundew.streaming import incremental
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -650,3 +652,92 @@ def matches_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "findings")
     pick = lambda d: t.where(F.col("detector_name") == d).select("match_text")
     return pick("gitleaks-detector").intersect(pick("pattern-detector"))
+
+
+# Sinks and streams --------------------------------------------------------------------------------------------------
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored findings under the names that reports use."""
+    t = table(spark, sf_dir, "findings")
+    return t.select(
+        "finding_id", "repo_url", F.coalesce("file_path", F.lit("")).alias("file"), F.col("line_no").alias("line"), F.col("col_no").alias("col"), kind_column().alias("kind"),
+        F.col("match_text").alias("value"), "context", "validated", "confidence", "risk_level", (F.col("context_modifier") <= 0.1).alias("is_test"),
+    )
+
+
+_RULE_CASE = " ".join(f"WHEN k = '{k}' THEN '{i}'" for i, k, _ in reports.SARIF_RULES)
+_LEVEL_CASE = " ".join(f"WHEN k = '{k}' THEN '{lv}'" for _, k, lv in reports.SARIF_RULES)
+_INDEX_CASE = " ".join(f"WHEN k = '{k}' THEN {n}" for n, (_, k, _) in enumerate(reports.SARIF_RULES))
+
+
+@query(
+    "sarif_fields",
+    f"""SELECT finding_id, CASE {_RULE_CASE} ELSE 'PI999' END AS rule_id, CASE {_INDEX_CASE} ELSE -1 END AS rule_index, CASE {_LEVEL_CASE} ELSE 'note' END AS level,
+        CASE risk_level WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'none' END AS risk_level,
+        replace(file_path, chr(92), '/') AS uri FROM (SELECT *, {_KIND} AS k FROM findings)""",
+)
+def sarif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = kind_column()
+    return table(spark, sf_dir, "findings").select(
+        "finding_id", reports.rule_id(k).alias("rule_id"), reports.rule_index(k).alias("rule_index"), reports.default_level(k).alias("level"),
+        reports.risk_level(F.col("risk_level")).alias("risk_level"), reports.uri(F.col("file_path")).alias("uri"),
+    )
+
+
+@query("fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = reported(spark, sf_dir)
+    return t.select("finding_id", reports.fingerprint(F.col("file"), F.col("kind"), F.col("line"), F.col("value")).alias("fingerprint"))
+
+
+@query("sarif_logs")
+def sarif_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_report(reported(spark, sf_dir), "sundew", "0.1.0", ["repo_url"])
+
+
+_NOW = "2026-01-01 00:00:00"
+
+
+def _at():
+    from datetime import datetime
+
+    return datetime(2026, 1, 1)
+
+
+@query(
+    "csv_findings",
+    f"""SELECT '{_NOW}' AS "Timestamp", 'all' AS "Repository", 'main' AS "Branch", coalesce(file_path, '') AS "File Path", CAST(coalesce(line_no, 0) AS VARCHAR) AS "Line",
+        CAST(coalesce(col_no, 0) AS VARCHAR) AS "Column", coalesce(k, '') AS "PI Type", CASE {_DISPLAY_CASE} ELSE coalesce(k, '') END AS "PI Type Display",
+        CASE WHEN coalesce(validated, false) THEN 'true' ELSE 'false' END AS "Validated", 'false' AS "Test Data", printf('%.2f', coalesce(confidence, 0)) AS "Confidence Score",
+        coalesce(risk_level, 'UNKNOWN') AS "Risk Level", '0.00' AS "Risk Score", {_MASK} AS "Masked Value", '0.00' AS "Impact Score", '0.00' AS "Likelihood Score",
+        '0.00' AS "Exposure Score", '' AS "Risk Category", 'unknown' AS "Environment", 'false' AS "APRA Relevant", 'false' AS "Privacy Act Issue", 'false' AS "Notifiable Breach"
+        FROM (SELECT *, coalesce(match_text, '') AS v, length(coalesce(match_text, '')) AS n FROM (SELECT *, coalesce({_KIND}, '') AS k FROM findings))""",
+)
+def csv_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.csv_rows(reported(spark, sf_dir), "all", "main", _at())
+
+
+_SUM = " UNION ALL ".join(
+    f"SELECT '{m}' AS \"Metric\", CAST({c} AS VARCHAR) AS \"Value\", CASE WHEN total = 0 THEN '0.0%' ELSE printf('%.1f%%', {c} / total::DOUBLE * 100) END AS \"Percentage\" FROM c"
+    for m, c in (("Critical Risk", "n_c"), ("High Risk", "n_h"), ("Medium Risk", "n_m"), ("Low Risk", "n_l"), ("Validated PI", "n_v"), ("Test Data", "n_t"))
+)
+
+
+@query(
+    "csv_summary",
+    f"""WITH c AS (SELECT count(*) AS total, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS n_c, count(*) FILTER (WHERE risk_level = 'HIGH') AS n_h, count(*) FILTER (WHERE risk_level = 'MEDIUM') AS n_m,
+            count(*) FILTER (WHERE risk_level = 'LOW') AS n_l, count(*) FILTER (WHERE validated) AS n_v, count(*) FILTER (WHERE context_modifier <= 0.1) AS n_t FROM findings)
+        SELECT 'Repository' AS "Metric", 'all' AS "Value", '' AS "Percentage" UNION ALL SELECT 'Branch', 'main', '' UNION ALL SELECT 'Scan Date', '{_NOW}', ''
+        UNION ALL SELECT 'Scan Duration', '1.50 seconds', '' UNION ALL SELECT 'Total Findings', CAST(total AS VARCHAR), '100.0%' FROM c UNION ALL {_SUM}""",
+)
+def csv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary_rows(reported(spark, sf_dir), "all", "main", _at(), 1.5)
+
+
+@query(
+    "windowed_counts",
+    """SELECT time_bucket(INTERVAL 1 hour, ts) AS start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS stop, event_type, count(*) AS n FROM events GROUP BY ALL""",
+)
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"])
