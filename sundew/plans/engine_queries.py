@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sundew.functions import checksums, masking, patterns, spans
+from sundew.functions import checksums, masking, patterns, proximity, spans
 from sundew.operators import context, detect, discovery, evaluate, pairs
 from sundew.session import table
 from sundew.sinks import reports
@@ -741,3 +741,119 @@ def csv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"])
+
+
+# Proximity ----------------------------------------------------------------------------------------------------------
+
+
+def m(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, {quoted(pattern)})"
+
+
+_TYPES = (("test", proximity.TEST_DATA), ("label", proximity.LABEL), ("database", proximity.DATABASE), ("form", proximity.FORM), ("log", proximity.LOG), ("config", proximity.CONFIG),
+          ("variable", proximity.VARIABLE), ("documentation", proximity.DOCUMENTATION))
+_CONFIDENCE = " + ".join(
+    f"CASE WHEN {m('context', p)} THEN {v}::DOUBLE ELSE 0 END"
+    for p, v in ((proximity.LABEL, 0.8), (proximity.DATABASE, 0.6), (proximity.FORM, 0.6), (proximity.LOG, 0.4), (proximity.CONFIG, 0.3), (proximity.DOCUMENTATION, -0.3), (proximity.VARIABLE, -0.2))
+)
+_STRONG = " + ".join(f"CASE WHEN contains(lower(context), '{w}') THEN 0.2::DOUBLE ELSE 0 END" for w in proximity.STRONG_TEST)
+_HITS = f"len(regexp_extract_all(context, {quoted(proximity.TEST_DATA)}))"
+
+
+@query(
+    "context_types",
+    f"""SELECT finding_id, CASE {' '.join(f"WHEN {m('context', p)} THEN '{n}'" for n, p in _TYPES)} ELSE 'production' END AS context_type,
+        round(least(greatest({_CONFIDENCE}, 0), 1), 6) AS confidence, round(CASE WHEN {_HITS} = 0 THEN 0 ELSE least(1, least(1, {_HITS} * 0.3::DOUBLE) + {_STRONG}) END, 6) AS test_confidence
+        FROM findings WHERE NOT contains(context, chr(10))""",
+)
+def context_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "findings").where(~F.contains("context", F.lit("\n")))
+    c = F.col("context")
+    return t.select(
+        "finding_id", proximity.context_type(c).alias("context_type"), F.round(proximity.context_confidence(c), 6).alias("confidence"),
+        F.round(proximity.test_confidence(c), 6).alias("test_confidence"),
+    )
+
+
+@query(
+    "context_labels",
+    f"""SELECT finding_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(context, {quoted(proximity.LABEL)}), lambda x: lower(trim(regexp_replace(regexp_replace(x, '\s+$', ''), '[:=]+$', '')))))), '|') AS labels
+        FROM findings""",
+)
+def context_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "findings").select("finding_id", F.array_join(F.array_sort(F.transform(proximity.labels(F.col("context")), F.lower)), "|").alias("labels"))
+
+
+_NEAR = "substring(context, greatest(i - 200, 0) + 1, least(i + n + 200, length(context)) - greatest(i - 200, 0))"
+_STRUCT_CASE = " ".join(f"WHEN {m('s', p)} THEN '{k}'" for k, p in proximity.STRUCTURES.items())
+
+
+@query(
+    "structures",
+    f"""SELECT finding_id, k AS structure, CASE WHEN k = 'json' THEN length(s) - length(replace(replace(s, chr(123), ''), '[', '')) WHEN k IN ('xml', 'html') THEN (length(s) - length(replace(s, '<', ''))) // 2
+          WHEN k = 'yaml' THEN list_max(list_transform(string_split(s, chr(10)), lambda x: length(x) - length(ltrim(replace(x, chr(9), ' '))))) // 2 ELSE 0 END AS nesting
+        FROM (SELECT finding_id, s, CASE {_STRUCT_CASE} ELSE 'plain_text' END AS k FROM (SELECT finding_id, {_NEAR} AS s FROM (
+            SELECT finding_id, context, instr(context, match_text) - 1 AS i, length(match_text) AS n FROM findings WHERE contains(context, match_text))))""",
+)
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
+    at = F.instr("context", F.col("match_text")) - 1
+    s = proximity.structure(F.col("context"), at, at + F.length("match_text"))
+    return t.select("finding_id", s.alias("s")).select("finding_id", F.col("s.type").alias("structure"), F.col("s.nesting").alias("nesting"))
+
+
+_SEM = "0.5::DOUBLE"
+for _words, _gain in ((proximity.PERSON_WORDS, 0.1), (("ssn",), 0.2), (proximity.DOUBT_WORDS, -0.2)):
+    _SEM += "".join(f" + CASE WHEN contains(s, '{w}') THEN {_gain}::DOUBLE ELSE 0 END" for w in _words)
+for _words, _gain, _ in proximity.GROUP_WORDS.values():
+    _SEM += f" + CASE WHEN {m('s', patterns.any_of(_words))} THEN {_gain}::DOUBLE ELSE 0 END"
+_HINTS = ", ".join(f"CASE WHEN {m('s', patterns.any_of(w))} THEN '{k}' END" for k, w in proximity.TYPE_HINTS.items())
+
+
+@query(
+    "semantics",
+    f"""SELECT finding_id, round(least(greatest({_SEM}, 0), 1), 6) AS confidence, array_to_string(list_filter([{_HINTS}], lambda x: x IS NOT NULL), '|') AS types
+        FROM (SELECT finding_id, lower(substring(context, greatest(i - 100, 0) + 1, i - greatest(i - 100, 0)) || substring(context, i + n + 1, 100)) AS s FROM (
+            SELECT finding_id, context, instr(context, match_text) - 1 AS i, length(match_text) AS n FROM findings WHERE contains(context, match_text)))""",
+)
+def semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
+    at = F.instr("context", F.col("match_text")) - 1
+    s = proximity.semantics(F.col("context"), at, at + F.length("match_text"))
+    return t.select("finding_id", s.alias("s")).select("finding_id", F.round("s.confidence", 6).alias("confidence"), F.array_join("s.types", "|").alias("types"))
+
+
+@query("proximity_analysis")
+def proximity_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
+    at = F.instr("context", F.col("match_text")) - 1
+    a = proximity.analysis(F.col("context"), F.col("match_text"), at, at + F.length("match_text"))
+    return t.select("finding_id", a.alias("a")).select("finding_id", "a.*")
+
+
+@query("enhanced_findings")
+def enhanced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
+    e = proximity.enhanced(F.col("context"), F.col("match_text"), F.col("confidence"), F.col("risk_level"))
+    return t.select("finding_id", e.alias("e")).select("finding_id", "e.*")
+
+
+_WORDS = "regexp_extract_all(lower({}), '[0-9A-Za-z_]+')"
+_BACK, _AHEAD = _WORDS.format("substring(context, greatest(i - 100, 0) + 1, i - greatest(i - 100, 0))"), _WORDS.format("substring(context, i + n + 1, 100)")
+
+
+@query(
+    "nearest_keywords",
+    f"""SELECT finding_id, d AS distance, CASE WHEN d IS NULL THEN NULL WHEN d = t THEN 'tfn' WHEN d = a THEN 'abn' ELSE 'info' END AS keyword,
+        len(list_filter({_WORDS.format('context')}, lambda w: w IN ('tfn', 'abn', 'info'))) AS n_keywords FROM (
+        SELECT *, least(t, a, f) AS d FROM (SELECT finding_id, context, {', '.join(
+            f"CASE WHEN list_position(list_reverse({_BACK}), '{w}') > 0 THEN list_position(list_reverse({_BACK}), '{w}') WHEN list_position({_AHEAD}, '{w}') > 0 THEN list_position({_AHEAD}, '{w}') END AS {x}"
+            for w, x in (('tfn', 't'), ('abn', 'a'), ('info', 'f')))}
+        FROM (SELECT finding_id, context, instr(context, match_text) - 1 AS i, length(match_text) AS n FROM findings WHERE contains(context, match_text))))""",
+)
+def nearest_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
+    at = F.instr("context", F.col("match_text")) - 1
+    k = proximity.nearest_keyword(F.col("context"), ["tfn", "abn", "info"], at, at + F.length("match_text"))
+    n = proximity.count_keywords(F.col("context"), ["tfn", "abn", "info"])
+    return t.select("finding_id", k.alias("k"), n.alias("n_keywords")).select("finding_id", F.col("k.distance").alias("distance"), F.col("k.keyword").alias("keyword"), "n_keywords")
