@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.llm.words import Coder, flat, mix
+from sundew.llm.words import Coder, flat, mix, pieces
 
 ITEM_BLOCK = 20_000
 
@@ -147,8 +147,7 @@ def leaks(
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, coder = ItemIndex(ids, texts, size, repetitions, samples), Coder()
             for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
+                for batch in pieces(whole, [1]):
                     codes, starts = flat(batch.column(1).to_pylist(), coder)
                     firsts = window_starts(starts, size)
                     win, item, distance = index.verified(codes, firsts, edits)

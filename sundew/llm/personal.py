@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.llm.words import one_slip
+from sundew.llm.words import one_slip, pieces
 
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "PERSON")
 TRAINING_ROWS = 1500
@@ -429,8 +429,7 @@ def find(df: DataFrame, id_column: str, type_column: str, text_columns: list[str
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for batch in pieces(whole, list(range(2, whole.num_columns)), 2000):
                 columns = [c.to_pylist() for c in batch.columns[1:]]
                 got = details([(r[0], list(r[1:])) for r in zip(*columns)], crf)
                 pairs = [(i, k) for i, texts in enumerate(got) for k in sorted({s[2] for spans in texts for s in spans})]
@@ -458,8 +457,7 @@ def masked(df: DataFrame, id_column: str, type_column: str, text_columns: list[s
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for batch in pieces(whole, list(range(2, whole.num_columns)), 2000):
                 rows = [(r[0], list(r[1:])) for r in zip(*[c.to_pylist() for c in batch.columns[1:]])]
                 got = details(rows, crf)
                 columns = [[replaced(texts[i], spans[i]) for (_, texts), spans in zip(rows, got)] for i in range(len(text_columns))]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.llm.words import WORD, Coder, mix
+from sundew.llm.words import WORD, Coder, mix, pieces
 
 SIZE = 8
 TRAINING_DOCUMENTS = 120
@@ -183,8 +183,7 @@ def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in pieces(whole, [1]):
                 codes: list[int] = []
                 starts, unit_starts, unit_firsts = [0], [0], [0]
                 for text in batch.column(1).to_pylist():

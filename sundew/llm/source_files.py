@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.llm.words import Coder, mix
+from sundew.llm.words import Coder, mix, pieces
 from sundew.session import durable
 
 K = 24
@@ -162,8 +162,7 @@ def look(files: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in pieces(whole, [4], 500):
                 out = []
                 for fid, repo, path, binary, text in zip(*[c.to_pylist() for c in batch.columns]):
                     path = (path or "").replace("\\", "/")

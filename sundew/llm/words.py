@@ -5,14 +5,31 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 MASK = (1 << 64) - 1
 
 
+def pieces(batch: pa.RecordBatch, texts: list[int], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``size`` bytes in the text columns, so that what a kernel
+    holds stays bounded; a longer text comes alone and whole."""
+    n = sum(pc.fill_null(pc.binary_length(batch.column(t)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+    start, held = 0, 0
+    for i, x in enumerate(n.tolist()):
+        if i > start and (held + x > size or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += x
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: well-spread bits from any 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
