@@ -172,6 +172,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, on: str, plan: Sh
     right row once.  Rows with a null key match nothing (a left join keeps them).  Other columns that both sides
     have keep the left side's value; the right side's gets the suffix ``_right``.
     """
+    # both sides are partitioned by task alone; without this the planner would hash them anew by task and key
+    left.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spread = F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith("map")])
     a = _placed(left, F.col(on), plan, False, spread).repartition(plan.tasks, "_task")
     clash = [c for c in right.columns if c in left.columns and c != on]
