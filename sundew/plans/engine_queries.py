@@ -777,7 +777,7 @@ def context_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "context_labels",
-    f"""SELECT finding_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(context, {quoted(proximity.LABEL)}), lambda x: lower(trim(regexp_replace(regexp_replace(x, '\s+$', ''), '[:=]+$', '')))))), '|') AS labels
+    f"""SELECT finding_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(context, {quoted(proximity.LABEL)}), lambda x: lower(trim(regexp_replace(regexp_replace(x, '\\s+$', ''), '[:=]+$', '')))))), '|') AS labels
         FROM findings""",
 )
 def context_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
