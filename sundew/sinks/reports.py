@@ -206,6 +206,10 @@ def scan_result(findings: DataFrame, repository: dict, started: datetime, finish
 def write_json(findings: DataFrame, head: dict, folder: str) -> None:
     """A scan's result: its head in ``scan.json`` and its findings as JSON lines in ``findings``; folders are made."""
     findings.write.mode("overwrite").json(f"{folder}/findings")
+    write_head(head, folder)
+
+
+def write_head(head: dict, folder: str) -> None:
     Path(folder).mkdir(parents=True, exist_ok=True)
     Path(folder, "scan.json").write_text(json.dumps(head, indent=2, sort_keys=True))
 
