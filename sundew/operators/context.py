@@ -89,3 +89,19 @@ def validated(findings: DataFrame, content: str | None = None) -> DataFrame:
     kept = out.where(~(F.col("in_comment") & F.col("_fake")) & ~F.col("code_shape").isin("uuid", "hash"))
     reason = F.when(F.col("has_context"), "Valid context found").otherwise("Pattern match")
     return kept.withColumns({"confidence": F.when(F.col("has_context"), 0.95).otherwise(0.8), "reason": reason}).drop("_fake")
+
+
+# Fixed values of the plain filter.
+PLAIN_TEST_FILES = ("_test.go", "test.go", "mock_", "fixture_")
+PLAIN_MOCK_WORDS = ("mock", "test", "example", "sample", "dummy", "placeholder")
+
+
+def plainly_filtered(findings: DataFrame) -> DataFrame:
+    """A plainer filter for comparisons: no finding after //, in test files, or within a line of a mock word; the rest at 0.9."""
+    lines, at = F.col("lines"), F.col("at")
+    text = spans.line_at(lines, at)
+    slashes = F.instr(text, F.lit("//"))
+    commented = (slashes > 0) & (F.col("col") > slashes - 1)
+    mocked = F.lower(spans.line_window(lines, at, 1, 2, " ")).rlike(patterns.any_of(PLAIN_MOCK_WORDS))
+    tested = F.col("file").rlike(patterns.any_of(PLAIN_TEST_FILES))
+    return findings.where(~(commented | mocked | tested)).withColumn("confidence", F.lit(0.9))

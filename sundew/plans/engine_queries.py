@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from sundew.functions import checksums, masking, patterns, proximity, spans
 from sundew.operators import context, detect, discovery, evaluate, pairs
-from sundew.session import table
+from sundew.session import durable, table
 from sundew.sinks import reports
-from sundew.sources import repositories
+from sundew.sources import generate, repositories
 from sundew.streaming import incremental
 
 QUERIES: dict = {}
@@ -857,3 +857,26 @@ def nearest_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = proximity.nearest_keyword(F.col("context"), ["tfn", "abn", "info"], at, at + F.length("match_text"))
     n = proximity.count_keywords(F.col("context"), ["tfn", "abn", "info"])
     return t.select("finding_id", k.alias("k"), n.alias("n_keywords")).select("finding_id", F.col("k.distance").alias("distance"), F.col("k.keyword").alias("keyword"), "n_keywords")
+
+
+# Generated cases ----------------------------------------------------------------------------------------------------
+
+
+@query("generated_cases")
+def generated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of three detectors on generated cases: as many of each type as there are customers."""
+    made = generate.cases(spark, table(spark, sf_dir, "customer").count()).withColumn("id", F.xxhash64("case_id", "kind", "value"))
+    cases = durable(made)  # five uses of a wide union
+    raw = detect.detect(cases, "id", "filename", "code", gates=False)
+    found = {
+        "patterns": raw,
+        "context": context.validated(detect.detect(cases, "id", "filename", "code")),
+        "plain": context.plainly_filtered(raw),
+    }
+    judged = None
+    for name, f in found.items():
+        hits = f.where(F.col("confidence") > 0.5).select(F.col("id").alias("_id"), F.col("kind").alias("_kind")).distinct()
+        joined = cases.join(hits, (F.col("id") == F.col("_id")) & (F.col("kind") == F.col("_kind")), "left")
+        one = joined.select(F.lit(name).alias("detector"), "is_actual", F.col("_id").isNotNull().alias("detected"), "kind", "context")
+        judged = one if judged is None else judged.unionByName(one)
+    return evaluate.evaluate_sets(judged, "is_actual", "detected", "detector", "kind", "context")
