@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sundew.functions.let import let
+
 # The weights of each number's digits.
 TFN_WEIGHTS = (1, 4, 3, 7, 5, 8, 6, 9, 10)
 ABN_WEIGHTS = (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
@@ -25,23 +27,23 @@ def _weighted(text: Column, weights: tuple[int, ...]) -> Column:
 
 def tfn(value: Column) -> Column:
     """Is it a tax file number?  Spaces and dashes don't matter; null gives null."""
-    clean = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
-    return clean.rlike(r"^[0-9]{9}$") & (_weighted(clean, TFN_WEIGHTS) % 11 == 0)
+    bare = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
+    return let(bare, lambda clean: clean.rlike(r"^[0-9]{9}$") & (_weighted(clean, TFN_WEIGHTS) % 11 == 0))
 
 
 def abn(value: Column) -> Column:
     """Is it a business number?  Its first digit counts one less."""
-    clean = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
-    return clean.rlike(r"^[0-9]{11}$") & ((_weighted(clean, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0)
+    bare = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
+    return let(bare, lambda clean: clean.rlike(r"^[0-9]{11}$") & ((_weighted(clean, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0))
 
 
 def medicare(value: Column) -> Column:
     """Is it a Medicare number, with or without its issue digit?"""
-    clean = F.regexp_replace(value, r"[\t\n\f\r /\-]", "")
-    return (
-        F.length(clean).between(10, 11)
+    return let(
+        F.regexp_replace(value, r"[\t\n\f\r /\-]", ""),
+        lambda clean: F.length(clean).between(10, 11)
         & F.substring(clean, 1, 1).isin("2", "3", "4", "5", "6")
-        & (_weighted(clean, MEDICARE_WEIGHTS) % 10 == _digit(clean, 8))
+        & (_weighted(clean, MEDICARE_WEIGHTS) % 10 == _digit(clean, 8)),
     )
 
 
@@ -52,8 +54,8 @@ def bsb(value: Column) -> Column:
 
 def acn(value: Column) -> Column:
     """Is it a company number?"""
-    clean = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
-    return clean.rlike(r"^[0-9]{9}$") & (((10 - _weighted(clean, ACN_WEIGHTS) % 10) % 10) == _digit(clean, 8))
+    bare = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
+    return let(bare, lambda clean: clean.rlike(r"^[0-9]{9}$") & (((10 - _weighted(clean, ACN_WEIGHTS) % 10) % 10) == _digit(clean, 8)))
 
 
 #: Type -> check, in the order in which ``any_valid`` asks them.  ``register`` adds to it.
@@ -86,5 +88,9 @@ def any_valid(value: Column) -> Column:
 
 def confidence(kind: Column, value: Column) -> Column:
     """0.95 for a valid number, 0.5 for an invalid one, 0.8 where no check exists."""
-    ok = valid(kind, value)
+    return let(valid(kind, value), confidence_of)
+
+
+def confidence_of(ok: Column) -> Column:
+    """The confidence that a check's outcome (null without a check) stands for."""
     return F.when(ok.isNull(), 0.8).when(ok, 0.95).otherwise(0.5)

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sundew.functions import patterns, spans
+from sundew.functions.let import has_any, let
 from sundew.functions.masking import lookup
 
 # Labels, words and patterns of contexts.
@@ -100,7 +101,7 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike(patterns.any_of(words))
+    return has_any(text, words)
 
 
 def words(text: Column) -> Column:
@@ -180,9 +181,13 @@ def relevant_keywords(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.transform(labels(text), F.lower), tests, groups)))
 
 
-def detector_context(text: Column, value: Column, start: Column, stop: Column) -> Column:
-    """By the detector's order over 50 characters on either side (the whole text if it is under 100 characters)."""
-    near = F.when(F.length(text) < 100, text).otherwise(F.concat(spans.before(text, start, 50), value, spans.after(text, stop, 50)))
+def detector_window(text: Column, value: Column, start: Column, stop: Column) -> Column:
+    """50 characters on either side of the match, or the whole text if it is under 100 characters."""
+    return F.when(F.length(text) < 100, text).otherwise(F.concat(spans.before(text, start, 50), value, spans.after(text, stop, 50)))
+
+
+def detector_context(near: Column) -> Column:
+    """By the detector's order, of its window."""
     order = (
         ("documentation", has(near, DOCUMENTATION)),
         ("database", has(near, DATABASE)),
@@ -259,34 +264,40 @@ def is_test_match(text: Column, value: Column, start: Column, stop: Column) -> C
 
 def analysis(text: Column, value: Column, start: Column, stop: Column) -> Column:
     """struct<score, reason, context, is_test, distance>: test data has score 0.1 and ends the analysis."""
-    test = is_test_match(text, value, start, stop)
-    near = F.lower(F.concat(spans.before(text, start, 30), value, spans.after(text, stop, 30)))
-    context = detector_context(text, value, start, stop)
-    before = spans.before(text, start, 50)
-    window = F.when(F.length(text) < 100, text).otherwise(F.concat(before, value, spans.after(text, stop, 50)))
-    distance = F.when(context == "label", label_distance(before, labels(window))).when(context == "production", 5).otherwise(1)
-    why = F.lit("test data indicator")
-    for w in reversed(TEST_REASONS):
-        sign = "demo " if w == "demo" else w
-        why = F.when(F.contains(near, F.lit(sign)), F.lit(f"{w} data indicator")).otherwise(why)
-    return F.struct(
-        F.when(test, 0.1).otherwise(proximity_score(context, distance)).alias("score"),
-        F.when(test, why).otherwise(lookup(context, REASONS, F.lit("general context"))).alias("reason"),
-        F.when(test, "test").otherwise(context).alias("context"),
-        test.alias("is_test"),
-        F.when(~test, distance).alias("distance"),
-    )
+
+    def tested(near: Column) -> Column:
+        low, why = F.lower(near), F.lit("test data indicator")
+        for w in reversed(TEST_REASONS):
+            why = F.when(F.contains(low, F.lit("demo " if w == "demo" else w)), F.lit(f"{w} data indicator")).otherwise(why)
+        none = F.lit(None).cast("int")
+        return F.struct(F.lit(0.1).alias("score"), why.alias("reason"), F.lit("test").alias("context"), F.lit(True).alias("is_test"), none.alias("distance"))
+
+    def placed(context: Column, distance: Column) -> Column:
+        why = lookup(context, REASONS, F.lit("general context"))
+        score = proximity_score(context, distance)
+        return F.struct(score.alias("score"), why.alias("reason"), context.alias("context"), F.lit(False).alias("is_test"), distance.cast("int").alias("distance"))
+
+    def real(window: Column) -> Column:
+        before = spans.before(text, start, 50)
+        far = lambda c: F.when(c == "label", label_distance(before, labels(window))).when(c == "production", 5).otherwise(1)
+        both = let(detector_context(window), lambda c: F.struct(c.alias("c"), far(c).alias("d")))
+        return let(both, lambda x: placed(x["c"], x["d"]))
+
+    near = F.concat(spans.before(text, start, 30), value, spans.after(text, stop, 30))
+    return let(near, lambda n: F.when(has(n, TEST_DATA), tested(n)).otherwise(let(detector_window(text, value, start, stop), real)))
 
 
 def enhanced(text: Column, value: Column, confidence: Column, risk: Column) -> Column:
     """struct<confidence, context_modifier, risk_level, before, after>: a finding after analysis at its first occurrence."""
+
+    def result(at: Column, a: Column) -> Column:
+        return F.struct(
+            (confidence * a["score"]).alias("confidence"),
+            F.when(a["is_test"], 0.1).otherwise(a["score"]).alias("context_modifier"),
+            F.when(a["is_test"], "LOW").otherwise(risk).alias("risk_level"),
+            spans.before(text, at, 25).alias("before"),
+            spans.after(text, at + F.length(value), 25).alias("after"),
+        )
+
     at = F.greatest(F.instr(text, value) - 1, F.lit(0))
-    a = analysis(text, value, at, at + F.length(value))
-    test = a["is_test"]
-    return F.struct(
-        (confidence * a["score"]).alias("confidence"),
-        F.when(test, 0.1).otherwise(a["score"]).alias("context_modifier"),
-        F.when(test, "LOW").otherwise(risk).alias("risk_level"),
-        spans.before(text, at, 25).alias("before"),
-        spans.after(text, at + F.length(value), 25).alias("after"),
-    )
+    return let(at, lambda p: let(analysis(text, value, p, p + F.length(value)), lambda a: result(p, a)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sundew.functions import patterns, spans
+from sundew.functions.let import has_any
 from sundew.functions.masking import lookup
 
 
@@ -37,15 +38,15 @@ def extended_window(all_lines: Column, line: Column) -> Column:
 
 def is_test_data(path: Column, all_lines: Column, line: Column) -> Column:
     window = F.lower(extended_window(all_lines, line))
-    return F.lower(path).rlike(patterns.any_of(patterns.TEST_FILE_WORDS)) | window.rlike(patterns.any_of(patterns.TEST_INDICATORS))
+    return has_any(F.lower(path), patterns.TEST_FILE_WORDS) | has_any(window, patterns.TEST_INDICATORS)
 
 
 def is_mock_data(all_lines: Column, line: Column) -> Column:
-    return F.lower(extended_window(all_lines, line)).rlike(patterns.any_of(patterns.MOCK_INDICATORS))
+    return has_any(F.lower(extended_window(all_lines, line)), patterns.MOCK_INDICATORS)
 
 
 def is_obviously_fake(all_lines: Column, line: Column) -> Column:
-    return F.lower(extended_window(all_lines, line)).rlike(patterns.any_of(patterns.FAKE_INDICATORS))
+    return has_any(F.lower(extended_window(all_lines, line)), patterns.FAKE_INDICATORS)
 
 
 def code_shape(value: Column, content: Column) -> Column:
@@ -61,7 +62,7 @@ def has_valid_context(kind: Column, all_lines: Column, line: Column) -> Column:
     window = F.lower(spans.line_window(all_lines, line, 2, 3, " "))
     out = F.lit(False)
     for k, words in patterns.CONTEXT_WORDS.items():
-        out = F.when(kind == k, window.rlike(patterns.any_of(words))).otherwise(out)
+        out = F.when(kind == k, has_any(window, words)).otherwise(out)
     return out
 
 

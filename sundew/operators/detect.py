@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sundew.functions import checksums, patterns, spans
+from sundew.functions.let import has_any
 from sundew.functions.masking import lookup
 
 SPAN = "array<struct<kind:string,value:string,start:int,stop:int>>"
@@ -125,16 +126,16 @@ def type_risk(kind: Column) -> Column:
 
 
 def in_test_context(all_lines: Column, line: Column) -> Column:
-    return F.lower(spans.line_window(all_lines, line, 3, 3)).rlike(patterns.any_of(patterns.TEST_WORDS))
+    return has_any(F.lower(spans.line_window(all_lines, line, 3, 3)), patterns.TEST_WORDS)
 
 
 def in_comment_example(all_lines: Column, line: Column) -> Column:
     text = spans.line_at(all_lines, line)
-    return text.rlike(r"//|#|/\*|\*/") & F.lower(text).rlike(patterns.any_of(patterns.EXAMPLE_WORDS))
+    return has_any(text, ("//", "#", "/*", "*/")) & has_any(F.lower(text), patterns.EXAMPLE_WORDS)
 
 
 def in_mock_context(all_lines: Column, line: Column) -> Column:
-    return F.lower(spans.line_window(all_lines, line, 2, 2)).rlike(patterns.any_of(patterns.MOCK_WORDS))
+    return has_any(F.lower(spans.line_window(all_lines, line, 2, 2)), patterns.MOCK_WORDS)
 
 
 def base_name(path: Column) -> Column:
@@ -293,14 +294,11 @@ def _judged(found: DataFrame, min_confidence: float, gates: bool, whole_path: bo
     if gates:
         test = (F.col("context_modifier") > 0.1) & in_test_context(lines, at)
         out = out.where(~(test | in_comment_example(lines, at) | in_mock_context(lines, at)))
-    return out.withColumns(
-        {
-            "validated": F.coalesce(checksums.valid(kind, value), F.lit(False)),
-            "confidence": checksums.confidence(kind, value),
-            "risk_level": type_risk(kind),
-            "detector_name": F.lit("pattern-detector"),
-        }
-    ).where(F.col("confidence") >= min_confidence)
+    out = out.withColumn("_ok", checksums.valid(kind, value)).withColumn("confidence", checksums.confidence_of(F.col("_ok")))
+    if min_confidence > 0.5:  # no finding has less
+        out = out.where(F.col("confidence") >= min_confidence)
+    marks = {"validated": F.coalesce("_ok", F.lit(False)), "risk_level": type_risk(kind), "detector_name": F.lit("pattern-detector")}
+    return out.withColumns(marks).drop("_ok")
 
 
 # Rule detector ------------------------------------------------------------------------------------------------------
