@@ -12,7 +12,7 @@ verified on what remains.  History is first reduced to the earliest row per plac
 found a million times on one line meets a new row once.  Accepted rows of a batch are appended to the table as they are;
 nothing of the history is computed again.
 
-Cases: rows with a null repository, path, line or match are never duplicates; a scan without start counts as later than
+Cases: rows with a null repository, path, line or match are never duplicates, so they are accepted; a scan without start counts as later than
 all others; equal order keys are no duplicates of each other; an empty history makes nothing a duplicate.
 """
 
@@ -51,26 +51,24 @@ def file_key(path: Column, repository: Column) -> Column:
 
 
 def pivot_table(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    """One row per finding that can be looked up: id, order, place, line, match hash, and for slips its kind, canonical
-    form, digits and pivot distances."""
-    known = findings.where(
-        F.col("repo_url").isNotNull() & F.col("file_path").isNotNull() & F.col("line_no").isNotNull() & F.col("match_text").isNotNull()
-    ).select("finding_id", "scan_id", "repo_url", "file_path", "line_no", "match_text")
+    """One row per finding: id, order, place, line, match hash, and for slips its kind, canonical form, digits and pivot
+    distances.  Place, line, match and all that follows from them are null where the finding can't be looked up."""
+    known = F.col("repo_url").isNotNull() & F.col("file_path").isNotNull() & F.col("line_no").isNotNull() & F.col("match_text").isNotNull()
     starts = scans.select("scan_id", F.unix_micros("scan_started").alias("started"))
-    text = F.col("match_text")
+    text = F.when(known, F.col("match_text"))
     kind = F.when(text.rlike(PERSON_SHAPE), 1).when(text.rlike(EMAIL_SHAPE), 2).when(text.rlike(STREET_SHAPE), 3)
-    rows = known.join(starts, "scan_id", "left").select(
+    rows = findings.join(starts, "scan_id", "left").select(
         "finding_id",
         F.struct(F.coalesce("started", F.lit(NEVER)).alias("started"), F.col("finding_id").alias("id")).alias("at"),
-        F.xxhash64("repo_url", file_key(F.col("file_path"), F.col("repo_url"))).alias("place"),
-        F.col("line_no").cast("bigint").alias("line"),
+        F.when(known, F.xxhash64("repo_url", file_key(F.col("file_path"), F.col("repo_url")))).alias("place"),
+        F.when(known, F.col("line_no").cast("bigint")).alias("line"),
         canonical(text).alias("canon"),
         kind.alias("kind"),
     )
     letters = F.array_join(F.array_sort(F.split(F.regexp_replace("canon", r"[\s|]+", ""), "")), "")
     slip = F.col("kind").isNotNull()
     return (
-        rows.withColumn("match", F.xxhash64("canon", "place"))
+        rows.withColumn("match", F.when(F.col("place").isNotNull(), F.xxhash64("canon", "place")))
         .withColumn("letters", F.when(slip, letters))
         .select(
             "finding_id",
@@ -118,7 +116,7 @@ def found_before(new: DataFrame, old: DataFrame, line_reach: int = 25) -> DataFr
 
     def earliest(table: DataFrame, *more: Column) -> DataFrame:
         kept = [F.any_value(c).alias(c) for c in ("kind", "canon", "digits", *distances)]
-        return table.groupBy(*key).agg(F.min("at").alias("first"), *more, *kept)
+        return table.where(F.col("place").isNotNull()).groupBy(*key).agg(F.min("at").alias("first"), *more, *kept)
 
     before = earliest(old, F.max("at").alias("last"))
     asked = earliest(new, F.max("at").alias("last")) if new is not old else before
