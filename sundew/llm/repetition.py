@@ -1,9 +1,9 @@
-"""Repetition inside a document: lines labelled content or boilerplate by a linear-chain CRF, then measured exactly.
+"""Repetition inside a document: lines labelled content or boilerplate by a linear-chain CRF, and measured exactly.
 
 A document is cut into units (lines, and sentences of long lines).  Each unit has features of how much of it lies in
 stretches of ``size`` words that recur in the document.  The chain's Viterbi path marks units as boilerplate (said
-again) or content; the share of words in content units is what a retention rule would look at.  ``repetition`` gives
-this share and, for documents that the labelling does not clear, the exact share of repeated words.
+again) or content; the share of words in boilerplate units is what a retention rule looks at.  ``repetition`` gives this
+share, whether it clears the document, and the exact share of repeated words of every document, cleared or not.
 
 The CRF's weights are trained here, by maximum likelihood (forward-backward) on ``TRAINING_DOCUMENTS`` documents made
 by a fixed generator, whose labels are known; they take a second and depend on no data.
@@ -165,10 +165,10 @@ def trained() -> LineCrf:
 
 
 def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", clear_below: float = 0.1, crf: LineCrf | None = None) -> DataFrame:
-    """(id, words, boilerplate_share, repeated_share) of each row.
+    """(id, words, boilerplate_share, repeated_share, cleared) of each row.
 
-    ``boilerplate_share`` is the share of words in units that the Viterbi path marks as boilerplate.
-    ``repeated_share`` is exact where that share is at least ``clear_below``, else 0.
+    ``boilerplate_share`` is the share of words in units that the Viterbi path marks as boilerplate; documents with less
+    than ``clear_below`` are ``cleared``.  ``repeated_share`` is exact for every document, whatever its labels.
     """
     crf = crf or trained()
     schema = T.StructType(
@@ -177,6 +177,7 @@ def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             T.StructField("words", T.LongType()),
             T.StructField("boilerplate_share", T.DoubleType()),
             T.StructField("repeated_share", T.DoubleType()),
+            T.StructField("cleared", T.BooleanType()),
         ]
     )
 
@@ -199,7 +200,7 @@ def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 exact = np.concatenate([[0], np.cumsum(cover)])
                 words = np.diff(bounds)
                 marked = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(words, 1)
-                share = np.where(marked >= clear_below, (exact[bounds[1:]] - exact[bounds[:-1]]) / np.maximum(words, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(marked), pa.array(share)], schema.names)
+                share = (exact[bounds[1:]] - exact[bounds[:-1]]) / np.maximum(words, 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(marked), pa.array(share), pa.array(marked < clear_below)], schema.names)
 
     return df.select(F.col(id_column).cast("bigint"), F.col(text_column).cast("string")).mapInArrow(kernel, schema)
