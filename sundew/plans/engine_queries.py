@@ -230,7 +230,7 @@ def code_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
              FROM findings WHERE context IS NOT NULL AND NOT contains(context, chr(92)))""",
 )
 def string_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & ~F.col("context").contains("\\"))
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull())
     return t.select("finding_id", context.in_string(F.col("context"), F.coalesce("col_no", F.lit(1))).alias("in_string"))
 
 
@@ -309,7 +309,7 @@ def path_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM files WHERE file_text IS NOT NULL AND regexp_full_match(left(file_text, 512), '[\x01-\x7f]*')""",
 )
 def binary_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "files").where(F.col("file_text").isNotNull() & F.substring("file_text", 1, 512).rlike(r"^[\x01-\x7f]*$"))
+    t = table(spark, sf_dir, "files").where(F.col("file_text").isNotNull())
     return t.select("file_id", discovery.binary(F.col("file_text").cast("binary")).alias("looks_binary"))
 
 
@@ -350,7 +350,7 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repository_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    t = table(spark, sf_dir, "repositories").where(u.isNotNull() & ~u.contains("github.com"))
+    t = table(spark, sf_dir, "repositories").where(u.isNotNull())
     who = repositories.owner_and_name(u)
     return t.select(
         "clone_id", "url", who["owner"].alias("owner"), who["name"].alias("name"), repositories.valid_url(u).alias("valid"), repositories.https_url(u).alias("is_https")
@@ -769,7 +769,7 @@ _HITS = f"len(regexp_extract_all(context, {quoted(proximity.TEST_DATA)}))"
         FROM findings WHERE NOT contains(context, chr(10))""",
 )
 def context_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(~F.contains("context", F.lit("\n")))
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull())
     c = F.col("context")
     return t.select(
         "finding_id", proximity.context_type(c).alias("context_type"), F.round(proximity.context_confidence(c), 6).alias("confidence"),
