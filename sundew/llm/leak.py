@@ -5,7 +5,9 @@ words in 3n symbols: at each step it writes the current word and moves on or sta
 step.  Windows at a small edit distance get embeddings at a small Hamming distance, so equal samples of embedded
 positions make candidates.  Each repetition has its own walk and sample; two equal windows agree in every one, so
 quotes without any change are found with certainty, and ``recall`` bounds the number of repetitions for others.
-Candidates are verified on the words themselves.
+Candidates are verified on the words themselves: the least edit distance of the item's window to any run of words
+around the document's, so added and missing words count as one edit each.  Texts are padded by ``edits`` words, so that
+quotes with missing words are also met at the ends of a text or as a whole short text.
 
 The items are the query set: they are read to the driver in blocks of at most ``ITEM_BLOCK`` and meet all documents
 block by block, so what a task holds is bounded whatever the number of items.  Documents are never shuffled.
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from sundew.llm.words import Coder, flat, mix, pieces
 
 ITEM_BLOCK = 20_000
+#: Stands before and after a text where a quote with missing words leaves its window; no word has this code.
+OUTSIDE = np.uint64(0xB5297A4D3F84D5B5)
 
 
 def window_starts(starts: np.ndarray, size: int) -> np.ndarray:
@@ -54,16 +58,27 @@ def cgk_keys(codes: np.ndarray, firsts: np.ndarray, size: int, repetition: int,
     return mix(key)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distance of each pair of windows (rows of ``a`` and ``b``), all pairs at once."""
-    row = np.repeat(np.arange(b.shape[1] + 1)[:, None], len(a), 1)
+def padded(codes: np.ndarray, starts: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes with twice ``edits`` of ``OUTSIDE`` around each text; where its windows begin and end, ``edits`` beyond it."""
+    shift = 2 * edits * (2 * np.arange(len(starts) - 1) + 1)
+    out = np.full(len(codes) + 4 * edits * (len(starts) - 1), OUTSIDE, np.uint64)
+    out[np.arange(len(codes)) + np.repeat(shift, np.diff(starts))] = codes
+    return out, starts[:-1] + shift - edits, starts[1:] + shift + edits
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, within: bool = False) -> np.ndarray:
+    """Word edit distance of each pair of windows (rows of ``a`` and ``b``), all pairs at once.
+
+    ``within``: the least distance of ``a`` to any run of words of ``b``.
+    """
+    row = np.repeat(np.arange(b.shape[1] + 1)[:, None] * (not within), len(a), 1)
     for i in range(a.shape[1]):
         new = np.empty_like(row)
         new[0] = i + 1
         for j in range(b.shape[1]):
             new[j + 1] = np.minimum(np.minimum(row[j + 1], new[j]) + 1, row[j] + (a[:, i] != b[:, j]))
         row = new
-    return row[-1]
+    return row.min(0) if within else row[-1]
 
 
 class ItemIndex:
@@ -100,7 +115,8 @@ class ItemIndex:
         return pairs[0], pairs[1]
 
     def verified(self, codes: np.ndarray, firsts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document window, item id, edit distance) of the candidates within ``most`` word edits."""
+        """(document window, item id, edit distance) of the candidates within ``most`` word edits of a run of words around
+        the window; ``codes`` has ``most`` words before and after each window."""
         a, b = self.candidates(codes, firsts)
         if not len(a):
             return a, b, b
@@ -112,7 +128,8 @@ class ItemIndex:
             other = np.flatnonzero(~same)
             for i in range(0, len(other), 50_000):
                 part = other[i : i + 50_000]
-                distance[part] = edit_distances(x[part], y[part])
+                around = codes[firsts[a[part]][:, None] + np.arange(-most, self.size + most)]
+                distance[part] = edit_distances(y[part], around, within=True)
         keep = distance <= most
         return a[keep], self.owner[b[keep]], distance[keep]
 
@@ -128,9 +145,10 @@ def leaks(
     repetitions: int = 2,
     samples: int = 8,
 ) -> DataFrame:
-    """(document id, item id, edit_distance, windows): documents with a window within ``edits`` word edits of an item's.
+    """(document id, item id, edit_distance, windows): documents with a run of words within ``edits`` word edits of an
+    item's window.
 
-    ``edit_distance`` is the least one found, ``windows`` how many windows of the document matched.
+    ``edit_distance`` is the least one found, ``windows`` at how many windows of the document such a run was found.
     """
     schema = T.StructType(
         [
@@ -149,11 +167,12 @@ def leaks(
             for whole in batches:
                 for batch in pieces(whole, [1]):
                     codes, starts = flat(batch.column(1).to_pylist(), coder)
-                    firsts = window_starts(starts, size)
+                    codes, begins, ends = padded(codes, starts, edits)
+                    firsts = window_starts(np.stack([begins, ends], 1).ravel(), size)
                     win, item, distance = index.verified(codes, firsts, edits)
                     if not len(win):
                         continue
-                    doc = np.searchsorted(starts, firsts[win], "right") - 1
+                    doc = np.searchsorted(begins, firsts[win], "right") - 1
                     order = np.lexsort((distance, item, doc))
                     doc, item, distance, win = doc[order], item[order], distance[order], win[order]
                     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))

@@ -77,7 +77,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also quotes with up to two changed, missing or added words in each sixteen."""
-    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2, repetitions=6, samples=5)
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2, repetitions=12, samples=5)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
