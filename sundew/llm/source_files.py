@@ -39,6 +39,8 @@ CODE_EXTENSIONS = (
 LOCK_FILE = re.compile(r"(?i)(?:^|/)(?:[\w.-]*[.-]lock(?:\.json|\.ya?ml|b)?|go\.sum|npm-shrinkwrap\.json|package-lock\.json|gradle\.lockfile|packages\.lock\.json)$")
 GENERATED_PATH = re.compile(r"(?i)(?:^|/)(?:target|build|obj)/generated(?:-sources|-test-sources|-src)?/|(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h)|\.g\.cs|\.designer\.cs)$")
 COMMENT_LINE = re.compile(r"^\s*(?://|#(?!!)|--|/\*|\*|<!--|;|%|\"\"\"|''')")
+#: What may stand before or between the comments at the head.
+PREAMBLE = re.compile(r"""(?i)(?:#!.*|<\?php|<\?xml\b[^>]*\?>|(?P<q>["'])use [a-z]+(?P=q);?|declare\s*\(\s*strict_types\s*=\s*[01]\s*\)\s*;)$""")
 #: What a generator writes about its output, in several languages; looked for in comments at the head only.
 GENERATOR_NOTICE = re.compile(
     r"""(?ix)
@@ -67,12 +69,14 @@ RECORD = re.compile(r"(?m)^[^\s,;(){}]*(?:,[^\s,;(){}]*){2,}$")
 BLOB = re.compile(r"[A-Za-z0-9+/=_-]{120,}|(?:\\x[0-9a-fA-F]{2}){30,}")
 
 
-def head_comment(text: str, lines: int = 12) -> str:
-    """The comment lines (also blank ones between them) that a text begins with."""
+def head_comment(text: str) -> str:
+    """The comment lines (also blank ones between them) that a text begins with; shebang, opening tag and directives aside."""
     out = []
     inside = False
-    for line in text.lstrip("﻿").splitlines()[:lines]:
+    for line in text.lstrip("﻿").splitlines():
         s = line.strip()
+        if not inside and PREAMBLE.match(s):
+            continue
         if s and not inside and not COMMENT_LINE.match(line):
             break
         inside = (inside or "/*" in s) and "*/" not in s or (inside and "*/" not in s)
@@ -171,7 +175,7 @@ def look(files: DataFrame) -> DataFrame:
                         if code.search(path):
                             reason = "data"
                     elif text.strip():
-                        if binary or "\0" in text[:512]:
+                        if binary or "\0" in text:
                             reason = "data" if code.search(path) else None
                         elif is_generated(path, text):
                             reason = "generated"
