@@ -142,8 +142,8 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-#: A text without three digits, an @, an area code or two capitalised words can't match anything.
-MAY_MATCH = r"[0-9]{3}|@|\([0-9]{2}\)|[A-Z][a-z]{2,}[\t\n\f\r ]+[A-Z][a-z]"
+#: A text without three digits, an @, an area code, a phone number in small groups or two capitalised words can't match anything.
+MAY_MATCH = r"[0-9]{3}|@|\([0-9]{2}\)|0[2-9](?:[\t\n\f\r .-]?[0-9]){8}|[A-Z][a-z]{2,}[\t\n\f\r ]+[A-Z][a-z]"
 FOUND = T.StructType(
     [
         T.StructField("kind", T.StringType()),
