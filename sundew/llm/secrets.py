@@ -5,12 +5,15 @@
 2. Each named rule's pattern is applied to the whole text: an assignment of any spelling, an authorization header,
    user and password of a URL or command, an issuer's token format, or a private key block.
 3. The value must not be a placeholder, a reference (variable, template, vault, call), a UUID or a content hash, and
-   must hold the structure of its kind (a JWT's header is JSON, Basic credentials decode to user and password...).
+   must hold the structure of its kind (a JWT's header is JSON, Basic credentials decode to user and password, a key
+   block is base64...).  Tokens that carry a CRC32 (GitHub's, npm's) and pass it are taken at once; one that fails must
+   still look random, as issuers' older formats carry none.
 4. Values are replaced by placeholders of equal length whose letters and digits stay in the same alphabet, in every
    given text of the row, so the code around them keeps its syntax and its offsets.
 
 Cases: null texts stay null; empty texts have no credentials; a value met in one text of a row is also replaced where
-it stands alone in the others; texts are searched whole, however long.
+it stands in the others, a value under eight characters only where it stands alone; texts are searched whole, however
+long, in bounded batches.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sundew.llm.words import pieces
 from sundew.session import once
 
 KEY_NAMES = (
@@ -49,6 +54,11 @@ RULE_KEYWORDS = {
     "pat": ("pat.", "glpat-"),
     "mail": ("key-",),
     "jwt": ("eyj",),
+    "google": ("aiza", "ya29."),
+    "hook": ("hooks.slack.com/services/",),
+    "npm": ("npm_",),
+    "sendgrid": ("sg.",),
+    "azure": ("accountkey=", "sharedaccesskey="),
 }
 VALUE = r"""[^\s"'<>,;()\\`]+"""
 _KEYS = "|".join(sorted((re.escape(k) for k in KEY_NAMES), key=len, reverse=True))
@@ -72,6 +82,11 @@ PATTERNS = {
     "tok": re.compile(r"(?<![A-Za-z0-9_])(tok_[A-Za-z0-9]{16,})(?![A-Za-z0-9_])"),
     "pat": re.compile(r"(?<![A-Za-z0-9.])(pat\.[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{16,})"),
     "mail": re.compile(r"(?<![A-Za-z0-9-])(key-[A-Za-z0-9]{20,})(?![A-Za-z0-9-])"),
+    "google": re.compile(r"(?<![A-Za-z0-9_-])(AIza[0-9A-Za-z_-]{35}|ya29\.[0-9A-Za-z_-]{20,})(?![A-Za-z0-9_-])"),
+    "hook": re.compile(r"hooks\.slack\.com/services/(T[A-Za-z0-9]{6,}/B[A-Za-z0-9]{6,}/[A-Za-z0-9]{16,})"),
+    "npm": re.compile(r"(?<![A-Za-z0-9_])(npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"),
+    "sendgrid": re.compile(r"(?<![A-Za-z0-9_-])(SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})(?![A-Za-z0-9_-])"),
+    "azure": re.compile(r"(?i:AccountKey|SharedAccessKey)=([A-Za-z0-9+/]{43,}={0,2})"),
     "jwt": re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{8,})"),
 }
 WRAPPERS = " \t\"'(<[`"
@@ -91,6 +106,11 @@ NOT_A_VALUE = re.compile(
 )
 REFERENCE = re.compile(r"^[A-Za-z_][A-Za-z_]*(?:\.[A-Za-z_]\w*)+$|^[a-z]+$|^[A-Z_]+$|^\d{1,5}$|^[A-Z][a-z]+$|^0x[0-9a-f]{1,8}$")
 
+#: What names a credential itself, so isn't one.
+NAMING = frozenset((*KEY_NAMES, "user", "username", "string", "text", "value", "hidden", "input"))
+#: Digits of the CRC32 at the end of a token.
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
 
 def _automaton():
     def build():
@@ -109,6 +129,21 @@ def _automaton():
     return once("secret keywords", build)
 
 
+def crc_token(prefix: str, body: str) -> str:
+    """A token of an issuer that ends in the CRC32 of its random part, in six base-62 digits."""
+    n, digits = zlib.crc32(body.encode()), ""
+    while n:
+        n, d = divmod(n, 62)
+        digits = BASE62[d] + digits
+    return f"{prefix}_{body}{digits.rjust(6, '0')}"
+
+
+def _issued(value: str) -> bool:
+    """Does a token with room for a checksum pass it, or at least look random?"""
+    prefix, _, rest = value.partition("_")
+    return crc_token(prefix, rest[:-6]) == value or len(set(rest)) >= 4
+
+
 def _json_header(part: str) -> bool:
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
@@ -126,8 +161,10 @@ def _basic_pair(part: str) -> bool:
     return bool(user and colon and password) and text.isprintable() and not NOT_A_VALUE.match(password)
 
 
-def _is_value(value: str, least: int = 6) -> bool:
-    return len(value) >= least and not NOT_A_VALUE.match(value) and not REFERENCE.match(value)
+def _is_value(value: str, quoted: bool, least: int = 6) -> bool:
+    if len(value) < least or NOT_A_VALUE.match(value):
+        return False
+    return value.lower() not in NAMING if quoted and value.isalpha() else not REFERENCE.match(value)
 
 
 def _assigned(text: str, m: re.Match) -> list[tuple[int, int]]:
@@ -145,7 +182,8 @@ def _assigned(text: str, m: re.Match) -> list[tuple[int, int]]:
         if re.match(r"(?i)(?:basic|bearer)[ \t]", head):
             return []
         v = re.match(VALUE, head)
-        if not v or not _is_value(v[0]):
+        stop = start + v.end() if v else start
+        if not v or not _is_value(v[0], start > 0 and text[start - 1] in "\"'" and text[stop : stop + 1] == text[start - 1]):
             return []
         if "://" in v[0]:
             return []
@@ -162,7 +200,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     rules: set[str] = set()
-    for _, names in _automaton().iter(text.lower() if len(text.lower()) == len(text) else text):
+    for _, names in _automaton().iter(text.lower()):
         rules.update(names)
     if not rules:
         return []
@@ -179,6 +217,8 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             continue
         for m in PATTERNS[rule].finditer(text):
             value = m[1]
+            if rule in ("github", "npm") and not _issued(value):
+                continue
             if rule == "jwt" and not _json_header(value.partition(".")[0]):
                 continue
             if rule == "basic" and not _basic_pair(value):
@@ -220,6 +260,9 @@ def redact(texts: list[str | None]) -> list[str | None]:
     for v in sorted(values, key=len, reverse=True):
         if len(v) >= 8:
             out = [t and t.replace(v, placeholder(v)) for t in out]
+        elif any(t and v in t for t in out):
+            alone = re.compile(rf"(?<![^\W_]){re.escape(v)}(?![^\W_])")
+            out = [t and alone.sub(lambda m, p=placeholder(v): p, t) for t in out]
     return out
 
 
@@ -228,15 +271,16 @@ def find(df: DataFrame, id_column: str, text_columns: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(id_column, T.LongType()), T.StructField("rules", T.StringType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[1:]]
-            at, rules = [], []
-            for i, texts in enumerate(zip(*columns)):
-                got = {s[2] for t in texts for s in spans(t)}
-                if got:
-                    at.append(i)
-                    rules.append(",".join(sorted(got)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(rules, pa.string())], schema.names)
+        for whole in batches:
+            for batch in pieces(whole, list(range(1, whole.num_columns)), 2000):
+                columns = [c.to_pylist() for c in batch.columns[1:]]
+                at, rules = [], []
+                for i, texts in enumerate(zip(*columns)):
+                    got = {s[2] for t in texts for s in spans(t)}
+                    if got:
+                        at.append(i)
+                        rules.append(",".join(sorted(got)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(rules, pa.string())], schema.names)
 
     return df.select(F.col(id_column).cast("bigint"), *[F.col(c).cast("string") for c in text_columns]).mapInArrow(kernel, schema)
 
@@ -246,9 +290,10 @@ def redacted(df: DataFrame, id_column: str, text_columns: list[str]) -> DataFram
     schema = T.StructType([T.StructField(id_column, T.LongType()), *[T.StructField(c, T.StringType()) for c in text_columns]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [redact(list(texts)) for texts in zip(*[c.to_pylist() for c in batch.columns[1:]])]
-            columns = list(zip(*rows)) if rows else [()] * len(text_columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.string()) for c in columns]], schema.names)
+        for whole in batches:
+            for batch in pieces(whole, list(range(1, whole.num_columns)), 2000):
+                rows = [redact(list(texts)) for texts in zip(*[c.to_pylist() for c in batch.columns[1:]])]
+                columns = list(zip(*rows)) if rows else [()] * len(text_columns)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.string()) for c in columns]], schema.names)
 
     return df.select(F.col(id_column).cast("bigint"), *[F.col(c).cast("string") for c in text_columns]).mapInArrow(kernel, schema)

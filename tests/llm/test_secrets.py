@@ -44,6 +44,27 @@ def test_redaction_keeps_shape_and_the_rest():
     assert secrets.placeholder("aB3$-x") == "xX0$-x" and secrets.placeholder("ab12") == "aa00"
 
 
+def test_letters_that_change_length_in_lower_case():
+    assert secrets.spans('x = "İ"\nPASSWORD="Hunter2xyz9"')
+
+
+def test_short_values_and_quoted_words():
+    assert secrets.redact(['password = "a1b2c3"', "login a1b2c3, not xa1b2c3y"]) == ['password = "a0a0a0"', "login a0a0a0, not xa1b2c3y"]
+    assert secrets.spans('password = "correcthorse"') and not secrets.spans("password = correcthorse") and not secrets.spans('password = "password"')
+
+
+ISSUED = [
+    secrets.crc_token("ghp", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), secrets.crc_token("npm", "bbbbbbbbbbbbbbbbbbbbbbbbbbbbbb"), "npm_" + "a1B2" * 9, "AIza" + "SyB3xQ_" * 5,
+    "https://hooks.slack.com/services/T01AB2CD3/B04EF5GH6/aBcDeFgHiJkLmNoPqRsTuVwX", "SG." + "aB3_" * 5 + "xy." + "cD4-" * 10 + "xyz", "AccountName=x;AccountKey=" + "aB3/" * 21 + "aB==;",
+]
+
+
+@pytest.mark.parametrize("text", ISSUED)
+def test_issuers_and_checksums(text):
+    assert secrets.spans(text)
+    assert not secrets.spans("ghp_" + "x" * 36) and not secrets.spans("npm_" + "0" * 36)
+
+
 def test_tables(spark):
     rows = [(1, FOUND[0], None, None), (2, "clean", "", None), (3, None, None, FOUND[-1]), (3, None, None, FOUND[-1])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "finding_id long, match_text string, context string, context_after string, rules string")
