@@ -51,3 +51,17 @@ def test_short_texts_and_distances(spark):
     items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {r.doc_id: r.edit_distance for r in L.leaks(df, items, edits=2, repetitions=60, samples=3).collect()}
     assert got == {1: 0, 2: 2, 3: 2, 4: 2, 6: 2, 8: 2}
+
+
+@pytest.mark.parametrize("edits", [0, 2])
+def test_any_number_of_items(spark, monkeypatch, edits):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choices(words, k=r.randrange(10, 40)))) for i in range(30)] + [(99, None), (98, ""), (3, " ".join(r.choices(words, k=20)))]
+    docs = [(d, " ".join(r.choices(words, k=30) + edited((items[d % 30][1] + " x y").split(), "sd", r) + r.choices(words, k=9))) for d in range(60)] + [(100, None), (101, "")]
+    df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    run = lambda: sorted(map(tuple, L.leaks(df, held, edits=edits, repetitions=8, samples=4).collect()))
+    whole = run()
+    monkeypatch.setattr(L, "ITEM_BLOCK", 3)
+    assert whole and run() == whole
+    assert L.leaks(df.limit(0), held, edits=edits).count() == 0 and L.leaks(df, held.limit(0), edits=edits).count() == 0
