@@ -137,7 +137,8 @@ def meetings(rows: DataFrame, reach: int = 0) -> DataFrame:
     """Each row once per key under which it may meet another: (k1, k2, line range); ``reach`` adds the ranges around.
 
     For repeats the key is place and match.  For slips it is what must agree and the letters of a class; only these
-    rows keep ``canon`` and ``pivots``.
+    rows keep ``canon`` and ``pivots``.  Both sides of a join explode their ranges, so that the planner sees the same
+    plan below and reads one exchange twice.
     """
     others = "".join(CLASSES)
     letters = [F.regexp_replace("canon", f"[^{c}]", "") for c in CLASSES] + [F.regexp_replace("canon", rf"[{others}\s|]", "")]
@@ -148,7 +149,7 @@ def meetings(rows: DataFrame, reach: int = 0) -> DataFrame:
     keys = F.when(F.col("canon").isNull(), F.array(exact)).otherwise(F.array(exact, *slips))
     width = F.lit(LINE_RANGE)
     ranges = F.sequence(F.floor((F.col("line") - reach) / width), F.floor((F.col("line") + reach) / width))
-    out = rows.withColumn("_k", F.explode(keys)).withColumn("range", F.explode(ranges) if reach else F.floor(F.col("line") / width))
+    out = rows.withColumn("_k", F.explode(keys)).withColumn("range", F.explode(ranges))
     only = lambda c: F.when(F.col("_k.slip"), F.col(c)).alias(c)
     return out.select(F.col("_k.k1").alias("k1"), F.col("_k.k2").alias("k2"), "range", "line", "started", "id", only("canon"), only("pivots"))
 

@@ -3,12 +3,15 @@
 E-mail addresses, phones, identity numbers and street addresses are found by form and verified by structure (check
 digits, labels, not part of a longer number or of a URL's user part).  Whether two or three words name a person is
 decided by a conditional random field over the row's candidate spans.  Its nodes have features of cues and forms, its
-chain edges join neighbours in a text, its skip edges join equal or similar candidates anywhere in the row's texts, so
-that a name seen once with a cue is also recognised where it stands alone.  Loopy belief propagation passes messages
-over all rows of a batch at once.
+chain edges join neighbours in a text.  Skip edges join equal or similar candidates anywhere in the row's texts: all
+mentions of a name hang on one node for that name, which holds what is known of the name itself, so edges grow with the
+mentions, not with their pairs, and a cue at one mention reaches all others however many they are (a mention without
+cues is no evidence either way); names that differ by a slip are joined at these nodes.  Loopy belief propagation passes
+messages over all rows of a batch at once until they settle.
 
-The weights are trained here by pseudo-likelihood on ``TRAINING_ROWS`` rows from a fixed generator of labelled
-sentences (cues below, invented names); no table is read.
+The weights are trained here on ``TRAINING_ROWS`` rows from fixed generators of labelled sentences (cues below, invented
+names), node weights by maximum likelihood of each name given its mentions, edge weights by pseudo-likelihood; no table
+is read.  E-mail addresses, phones, identity numbers and addresses are patterns alone.
 
 Cases: null and empty texts have no details; overlapping finds keep the longest of the first kind in ``KINDS`` order;
 texts are read whole; a row without any candidate passes no messages.
@@ -29,9 +32,12 @@ from sundew.llm.words import one_slip, pieces
 
 KINDS = ("EMAIL", "ADDRESS", "ID_NUMBER", "PHONE", "PERSON")
 TRAINING_ROWS = 1500
-ROUNDS = 6
+#: Most rounds of messages, and the change under which they have settled.
+ROUNDS = 60
+SETTLED = 1e-3
 
 USER = re.compile(r"[A-Za-z0-9_%+](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?$")
+USER_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w@])")
 AT_SIGN = re.compile(r"(?i)[(\[{<]\s?at\s?[)\]}>]")
 SPELLED = re.compile(
@@ -108,9 +114,9 @@ CAPITALISED = re.compile(rf"(?<![\w@.])(?P<name>{_TITLE_CASE}(?:[ \t]+{_TITLE_CA
 WHOLE = re.compile(rf"^[\s\"'“”‘’(<\[;,]*(?P<name>{_NAME}(?:\s*,\s*|\s+){_NAME}(?:\s+{_NAME})?)[\s\"'“”‘’)>\];,.]*$")
 WORDS = re.compile(r"[^\W\d_]+")
 
-FEATURES = (
-    "bias", "title", "person_cue", "person_verb", "detail_near", "thing_word", "thing_cue", "thing_verb", "swapped", "lower", "upper", "bare", "typed", "no_cue",
-)
+FEATURES = ("bias", "thing_word", "title", "person_cue", "person_verb", "detail_near", "thing_cue", "thing_verb", "swapped", "lower", "upper", "bare", "typed")
+#: The first of these are of the name, the others of one mention of it.
+NAME_FEATURES = 2
 
 
 def _digits(s: str) -> str:
@@ -138,7 +144,10 @@ def plain_details(text: str, kind: str | None = None) -> list[tuple[int, int, st
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         for at in re.finditer("@", text):
-            host, user = HOST.match(text, at.end()), USER.search(text[max(0, at.start() - 64) : at.start()])
+            first = at.start()
+            while first and text[first - 1] in USER_LETTERS:
+                first -= 1
+            host, user = HOST.match(text, at.end()), USER.search(text[first : at.start()].lstrip(".-"))
             if not host or not user:
                 continue
             start, after = at.start() - len(user[0]), text[host.end() : host.end() + 2]
@@ -194,8 +203,9 @@ def is_thing(word: str) -> bool:
     return known
 
 
+PEOPLE_VALUES = re.compile(r"(?i)(?:members|customers|users|people|persons|patients|clients)\W+VALUES")
 _BEFORE = re.compile(r"([^\W\d_][\w-]*)\W*$")
-_AFTER = re.compile(r"^\W{0,3}([^\W\d_]+)")
+_AFTER = re.compile(r"(?:(?!\n)\W){0,3}([^\W\d_]+)")
 _CUE_SET, _TITLE_SET, _PERSON_VERB_SET = frozenset(PERSON_CUES), frozenset(TITLES), frozenset(PERSON_VERBS)
 _THING_CUE_SET, _THING_VERB_SET = frozenset(THING_CUES), frozenset(THING_VERBS)
 
@@ -208,15 +218,30 @@ _HAS_STRONG = re.compile(r"(?i)\b(?:dear|attn|by|mrs?|ms|miss|dr)\b")
 
 def _cues(text: str, at: int) -> set[str]:
     """The word before a position of its line, in lower case, and the parts of its camelCase or snake_case."""
-    m = _BEFORE.search(text[max(text.rfind("\n", 0, at) + 1, at - 40) : at])
+    line, look = text.rfind("\n", 0, at) + 1, 40
+    while True:  # farther back only where the word, or what follows it, is that long
+        first = max(line, at - look)
+        m = _BEFORE.search(text[first:at])
+        if first == line or (m and m.start()):
+            break
+        look *= 4
     if not m:
         return set()
     parts = {p.lower() for p in _PARTS.findall(m[1])}
     return set() if parts & {"secret", "token", "key", "password", "pass"} else {m[1].lower(), *parts}
 
 
-def candidates(text: str, details: list[tuple[int, int, str]], bare: bool, typed: bool) -> list[tuple[int, int, str, list[float]]]:
-    """(start, end, normalized name, features) of each span that may name a person."""
+def _normal(words: list[str]) -> str:
+    return " ".join(sorted(w.lower() for w in words))
+
+
+def candidates(
+    text: str, details: list[tuple[int, int, str]], bare: bool, typed: bool, known: frozenset[str] = frozenset()
+) -> list[tuple[int, int, str, list[float]]]:
+    """(start, end, normalized name, features) of each span that may name a person.
+
+    Three capitalised words of which two are a ``known`` name are that name beside a word that began or ended a sentence.
+    """
     spans: dict[int, int] = {}
     if bare:
         m = WHOLE.match(text)
@@ -224,9 +249,18 @@ def candidates(text: str, details: list[tuple[int, int, str]], bare: bool, typed
             spans[m.start("name")] = m.end("name")
     else:
         found = []
-        for m in CAPITALISED.finditer(text):  # a cue that is capitalised itself is no part of the name
+        at = 0
+        while m := CAPITALISED.search(text, at):  # a cue that is capitalised itself is no part of the name
+            at = m.end()
             first, _, rest = m["name"].replace("\t", " ").partition(" ")
             cue = first.lower() in _NAMING
+            if known and " " in rest.strip():
+                w = list(WORDS.finditer(text, m.start("name"), m.end("name")))
+                two = next((x for x in (w[:2], w[-2:]) if len(w) == 3 and _normal([y[0] for y in x]) in known), None)
+                if two:
+                    at = two[1].end()
+                    found.append((two[0].start(), at))
+                    continue
             if not cue or " " in rest.strip():
                 found.append((m.end("name") - len(rest.lstrip()) if cue else m.start("name"), m.end("name")))
         found += [m.span("name") for m in FIELD.finditer(text) if _cues(text, m.start()) & _ALL_CUES]
@@ -239,24 +273,26 @@ def candidates(text: str, details: list[tuple[int, int, str]], bare: bool, typed
             if not any(s < b and a < e for s, e in spans.items()):
                 spans[a] = b
     out = []
+    people = []  # from VALUES of a table of people to the end of its statement
+    if "VALUES" in text.upper():
+        for m in PEOPLE_VALUES.finditer(text):
+            people.append((m.end(), min(x for x in (text.find(";", m.end()), text.find("\n", m.end()), len(text)) if x >= 0)))
     for a, b in sorted(spans.items()):
         if any(s < b and a < e for s, e, _ in details):
             continue
         name = text[a:b]
-        line = text.rfind("\n", 0, a) + 1
-        end = text.find("\n", b)
-        left, right = text[max(line, a - 40) : a], text[b : (end if end >= 0 else len(text))][:40]
-        after, cues = _AFTER.match(right), _cues(text, a)
+        after, cues = _AFTER.match(text, b), _cues(text, a)
         verb = after[1].lower() if after else ""
         words = [w.lower() for w in WORDS.findall(name)]
         near = any(0 <= s - b <= 24 and "\n" not in text[b:s] for s, _, k in details if k in ("EMAIL", "PHONE", "ADDRESS"))
+        listed = people and any(p <= a <= q for p, q in people)
         x = [
             1.0,
+            float(any(map(is_thing, words))),
             float(bool(cues & _TITLE_SET)),
-            float(bool(cues & _CUE_SET) or bool(re.search(r"(?i)(?:members|customers|users|people|persons|patients|clients)\W+VALUES", left))),
+            float(bool(listed or cues & _CUE_SET)),
             float(verb in _PERSON_VERB_SET),
             float(near),
-            float(any(map(is_thing, words))),
             float(bool(cues & _THING_CUE_SET)),
             float(verb in _THING_VERB_SET),
             float("," in name),
@@ -264,37 +300,68 @@ def candidates(text: str, details: list[tuple[int, int, str]], bare: bool, typed
             float(name.isupper()),
             float(bare),
             float(bare and typed),
-            float(not cues and not bare),
         ]
-        out.append((a, b, " ".join(sorted(words)), x))
+        out.append((a, b, _normal(words), x))
     return out
 
 
-def skip_edges(names: list[str], chains: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain edges, skip edges) among one row's candidates; ``chains`` numbers the text of each.
+def row_candidates(texts: list[str | None], found: list[list[tuple[int, int, str]]], typed: bool) -> list[list[tuple[int, int, str, list[float]]]]:
+    """The candidates of each text of a row; the first text is the bare match."""
+    got = [candidates(t, found[i], i == 0, typed) if t else [] for i, t in enumerate(texts)]
+    names = {c[2] for cs in got for c in cs}
+    known = frozenset(n for n in names if n.count(" ") == 1)
+    if known and len(known) < len(names):
+        for i, cs in enumerate(got):
+            if i and any(c[2].count(" ") == 2 for c in cs):
+                got[i] = candidates(texts[i], found[i], False, typed, known)
+    return got
+
+
+def similar(names: list[str]) -> list[tuple[int, int]]:
+    """Pairs of distinct names one slip apart, found by keys: a name without one letter, or with two letters swapped.
 
-    Equal names form a path in order of appearance (messages pass along it), so edges grow with candidates, not pairs;
-    a similar name is joined to the first of each group it resembles.
+    Names that differ in the same place are joined to the first of them, so pairs grow with the names' letters only.
     """
-    chain = [(i, i + 1) for i in range(len(names) - 1) if chains[i] == chains[i + 1]]
-    skip: list[tuple[int, int]] = []
-    last: dict[str, int] = {}
-    heads: dict[int, list[tuple[str, int]]] = {}
+    sizes = {len(n) for n in names}
+    full = {n: i for i, n in enumerate(names)}
+    first: dict[tuple[int, str], int] = {}
+    pairs = set()
     for i, n in enumerate(names):
-        if n in last:
-            skip.append((last[n], i))
-        else:
-            for size in (len(n) - 1, len(n), len(n) + 1):
-                skip += [(j, i) for m, j in heads.get(size, ()) if one_slip(m, n)]
-            heads.setdefault(len(n), []).append((n, i))
-        last[n] = i
-    return chain, skip
+        shorter, same = len(n) - 1 in sizes, sum(len(m) == len(n) for m in names[:64]) > 1 or len(names) > 64
+        if not shorter and not same:
+            continue
+        for k in range(len(n)):
+            cut = n[:k] + n[k + 1 :]
+            if shorter and cut in full:
+                pairs.add((min(i, full[cut]), max(i, full[cut])))
+            if same:
+                j = first.setdefault((k, cut), i)
+                if j != i:
+                    pairs.add((j, i))
+                if k + 1 < len(n) and (j := full.get(n[:k] + n[k + 1] + n[k] + n[k + 2 :], i)) < i:
+                    pairs.add((j, i))
+    return sorted(pairs)
+
+
+def edges_of(names: list[str], chains: list[int]) -> tuple[list[int], list[tuple[int, int]], list[tuple[int, int]]]:
+    """(number of each mention's name, chain edges among mentions, edges among names one slip apart) of one row's
+    candidates; ``chains`` numbers the text of each.  Neighbours of one name need no chain edge, and two names that stand
+    beside each other again get no second one: messages going round such loops would count one cue many times."""
+    pairs: dict[tuple[str, str], tuple[int, int]] = {}
+    for i in range(len(names) - 1):
+        if chains[i] == chains[i + 1] and names[i] != names[i + 1]:
+            pairs.setdefault((min(names[i : i + 2]), max(names[i : i + 2])), (i, i + 1))
+    chain = list(pairs.values())
+    number: dict[str, int] = {}
+    of = [number.setdefault(n, len(number)) for n in names]
+    return of, chain, similar(list(number)) if len(number) > 1 else []
 
 
 def beliefs(score: np.ndarray, edges: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Loopy belief propagation for binary labels: log-odds of label 1 per node.
 
-    Each edge prefers equal labels by ``weight``.  Messages are log-odds, updated in parallel and damped.
+    Each edge prefers equal labels by ``weight``.  Messages are log-odds, updated in parallel and damped, until none
+    changes by more than ``SETTLED``.
     """
     if not len(edges):
         return score
@@ -303,32 +370,49 @@ def beliefs(score: np.ndarray, edges: np.ndarray, weight: np.ndarray) -> np.ndar
     w = np.concatenate([weight, weight])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros(len(a))
-    for _ in range(ROUNDS):
+    for i in range(ROUNDS):
         total = score + np.bincount(b, message, len(score))
         x = total[a] - message[back]
         new = np.logaddexp(0, w + x) - np.logaddexp(w, x)
-        message = 0.5 * message + 0.5 * new if _ else new
+        if i:
+            new = 0.25 * message + 0.75 * new
+        moved = np.abs(new - message).max()
+        message = new
+        if moved < SETTLED:
+            break
     return score + np.bincount(b, message, len(score))
 
 
 class SkipChainCrf:
-    """Node weights over ``FEATURES`` and one weight each for chain and skip edges."""
+    """Node weights over ``FEATURES``, and one weight each for edges between neighbours, a mention and its name, and names
+    one slip apart."""
 
-    def __init__(self, node: np.ndarray, chain: float, skip: float) -> None:
-        self.node, self.chain, self.skip = node, chain, skip
+    def __init__(self, node: np.ndarray, chain: float, mention: float, slip: float) -> None:
+        self.node, self.chain, self.mention, self.slip = node, chain, mention, slip
 
     def decide(self, rows: list[list[tuple[str, int, list[float]]]]) -> list[list[bool]]:
         """Per row and candidate (name, text number, features): does it name a person?"""
-        features, edges, weights, at = [], [], [], 0
+        features, of_name, pairs, weights, at, names = [], [], [], [], 0, 0
+        count = sum(map(len, rows))
+        first_of: list[int] = []  # a mention of each name
         for row in rows:
-            chain, skip = skip_edges([n for n, _, _ in row], [c for _, c, _ in row]) if len(row) > 1 else ([], [])
-            edges += [(at + i, at + j) for i, j in chain + skip]
-            weights += [self.chain] * len(chain) + [self.skip] * len(skip)
+            of, chain, slips = edges_of([n for n, _, _ in row], [c for _, c, _ in row])
+            pairs += [(at + i, at + j) for i, j in chain] + [(count + names + i, count + names + j) for i, j in slips]
+            weights += [self.chain] * len(chain) + [self.slip] * len(slips)
+            for i, k in enumerate(of):
+                if names + k == len(first_of):
+                    first_of.append(at + i)
+            of_name += [names + k for k in of]
             features += [x for _, _, x in row]
             at += len(row)
+            names = len(first_of)
         if not at:
             return [[] for _ in rows]
-        odds = beliefs(np.array(features) @ self.node, np.array(edges, np.int64).reshape(-1, 2), np.array(weights))
+        x, n = np.array(features), NAME_FEATURES
+        score = np.concatenate([x[:, n:] @ self.node[n:], x[first_of, :n] @ self.node[:n]])
+        hung = np.stack([np.arange(count), np.array(of_name) + count], 1)
+        edges = np.concatenate([np.array(pairs, np.int64).reshape(-1, 2), hung])
+        odds = beliefs(score, edges, np.concatenate([np.array(weights), np.full(count, self.mention)]))
         out, at = [], 0
         for row in rows:
             out.append((odds[at : at + len(row)] > 0).tolist())
@@ -344,6 +428,7 @@ def training_rows(seed: int = 11) -> list[tuple[list[tuple[str, bool]], bool]]:
     word = lambda: (pick(starts) + pick(starts) + pick(ends)).capitalize()
     things = [w.capitalize() for w in THING_WORDS]
     rows: list[tuple[list[tuple[str, bool]], bool]] = [([(f"{word().lower()} at {word()} {word()} {pick(('soon', 'again', 'here'))}", False)], False) for _ in range(TRAINING_ROWS // 5)]
+    rows += [([(f"{word().lower()} {word()}", False)], True) for _ in range(TRAINING_ROWS // 30)]
     for _ in range(TRAINING_ROWS):
         person = bool(rng.integers(2))
         first, second = word(), word() if person else pick(things)
@@ -361,35 +446,73 @@ def training_rows(seed: int = 11) -> list[tuple[list[tuple[str, bool]], bool]]:
         bare = bool(rng.integers(2))
         if bare:
             row.insert(0, (name, person))
+        if rng.integers(3) == 0:  # more mentions without a cue, some with a slip; now and then the same words mean something else
+            for _ in range(int(rng.integers(1, 5))):
+                k = int(rng.integers(1, len(name) - 1))
+                said = name[:k] + name[k + 1 :] if rng.integers(4) == 0 else name
+                row.append((f"again {pick(('seen', 'met', 'with', 'then'))} {said} {pick(('here', 'soon', 'later'))}", person ^ (rng.integers(40) == 0)))
         if rng.integers(3) == 0:
             row.append((f"{pick(THING_CUES)}: {word()} {pick(things)}", False) if rng.integers(2) else (f"{pick(PERSON_CUES)}: {word()} {word()}", True))
         rows.append((row, bare))
     return rows
 
 
+def training_lists(seed: int = 12) -> list[tuple[str, list[bool]]]:
+    """Labelled texts with several candidates each: neighbours are mostly of one sort, as in a list of recipients."""
+    rng = np.random.default_rng(seed)
+    starts, ends = ("ba", "de", "li", "mo", "ra", "su", "te", "vo", "ka", "ne"), ("rin", "lan", "mere", "sen", "ton", "dale", "vik", "bury")
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    word = lambda: (pick(starts) + pick(starts) + pick(ends)).capitalize()
+    texts = []
+    for _ in range(TRAINING_ROWS // 3):
+        labels = [bool(rng.integers(2))]
+        while len(labels) < int(rng.integers(2, 6)):
+            labels.append(labels[-1] ^ (rng.integers(3) == 0))
+        parts = [f"{word()} {word() if y else pick(THING_WORDS).capitalize()}" for y in labels]
+        cued = [f"{pick(PERSON_CUES if y else THING_CUES)}: {p}" if rng.integers(2) else f"again {p}" for y, p in zip(labels, parts)]
+        texts.append((" / ".join(cued), labels))
+    return texts
+
+
 def trained() -> SkipChainCrf:
-    """Weights by pseudo-likelihood: each label given its features and its neighbours' labels."""
-    xs, ys = [], []
+    """Node weights by maximum likelihood of each name's label given all its mentions (names that may owe their label
+    to another name aside), then the weight of each kind of edge by pseudo-likelihood: labels given their scores and
+    their neighbours' (those of chains without scores, as beside each other stand mostly names that have none)."""
+    rows = []  # of (name, text number, features, label)
     for row, bare in training_rows():
-        nodes = []
-        for i, (text, person) in enumerate(row):
-            got = candidates(text, plain_details(text), bare and i == 0, bare and i == 0)
-            nodes += [(n, i, x, person) for _, _, n, x in got[:1]]
-        chain, skip = skip_edges([n for n, _, _, _ in nodes], [c for _, c, _, _ in nodes])
-        sums = np.zeros((len(nodes), 2))
-        for k, edges in enumerate((chain, skip)):
-            for i, j in edges:
-                sums[i, k] += 1 if nodes[j][3] else -1
-                sums[j, k] += 1 if nodes[i][3] else -1
-        xs += [x + sums[i].tolist() for i, (_, _, x, _) in enumerate(nodes)]
-        ys += [float(p) for _, _, _, p in nodes]
-    x, y = np.array(xs), np.array(ys)
+        got = [(candidates(t, plain_details(t), bare and i == 0, bare and i == 0), y) for i, (t, y) in enumerate(row)]
+        rows.append([(c[0][2], i, c[0][3], y) for i, (c, y) in enumerate(got) if c])
+    for text, labels in training_lists():
+        got = candidates(text, plain_details(text), False, False)
+        if len(got) == len(labels):
+            rows.append([(n, 0, x, y) for (_, _, n, x), y in zip(got, labels)])
+    names, truth, graphs = [], [], []
+    n = NAME_FEATURES
+    for nodes in rows:
+        of, chain, slips = edges_of([name for name, _, _, _ in nodes], [c for _, c, _, _ in nodes])
+        held = [[m for m, k in zip(nodes, of) if k == j] for j in range(max(of, default=-1) + 1)]
+        graphs.append((nodes, [len(names) + k for k in of], chain, [(len(names) + i, len(names) + j) for i, j in slips]))
+        names += [h[0][2][:n] + np.sum([m[2][n:] for m in h], 0).tolist() for h in held]
+        truth += [2 * sum(m[3] for m in h) >= len(h) for h in held]
+    tied = {max(e) for _, _, _, slips in graphs for e in slips} | {of[i] for _, of, chain, _ in graphs for e in chain for i in e}
+    x, y = np.array(names), np.array(truth, float)
+    alone = np.array([i not in tied for i in range(len(y))])
+    w = _logistic(x[alone], y[alone])
+    score, sign = x @ w, 2 * y - 1
+    mentions = [(sign[k], float(np.dot(m[2][n:], w[n:])), m[3]) for nodes, of, _, _ in graphs for m, k in zip(nodes, of)]
+    neighbours = [(2.0 * nodes[j][3] - 1, 0.0, nodes[i][3]) for nodes, of, chain, _ in graphs for p in chain for i, j in (p, p[::-1])]
+    slips = [(sign[j], score[i], y[i]) for _, _, _, found in graphs for p in found for i, j in (p, p[::-1])]
+    weight = lambda rows: float(max(_logistic(np.array([[r[0]] for r in rows]), np.array([r[2] for r in rows], float), np.array([r[1] for r in rows]))[0], 0.0))
+    return SkipChainCrf(w, weight(neighbours), weight(mentions), weight(slips))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, base: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights of a logistic regression with fixed base log-odds, by gradient ascent with a little decay."""
     w = np.zeros(x.shape[1])
     for _ in range(800):
-        p = 1 / (1 + np.exp(-x @ w))
-        w += 2.0 * (x.T @ (y - p) / len(y) - 2e-4 * w)
-    n = len(FEATURES)
-    return SkipChainCrf(w[:n], float(max(w[n], 0.0)), float(max(w[n + 1], 0.0)))
+        p = 1 / (1 + np.exp(-(x @ w + base)))
+        w += 1.0 * (x.T @ (y - p) / len(y) - 2e-4 * w)
+    return w
 
 
 def details(rows: list[tuple[str | None, list[str | None]]], crf: SkipChainCrf) -> list[list[list[tuple[int, int, str]]]]:
@@ -398,12 +521,7 @@ def details(rows: list[tuple[str | None, list[str | None]]], crf: SkipChainCrf)
     for kind, texts in rows:
         kind = re.sub(r"[^A-Z]", "", kind.upper()) if kind else None
         found = [plain_details(t, kind if i == 0 else None) if t else [] for i, t in enumerate(texts)]
-        names = [
-            (n, i, x, a, b)
-            for i, t in enumerate(texts)
-            if t
-            for a, b, n, x in candidates(t, found[i], i == 0, kind == "NAME")
-        ]
+        names = [(n, i, x, a, b) for i, cs in enumerate(row_candidates(texts, found, kind == "NAME")) for a, b, n, x in cs]
         plain.append(found)
         if names:
             pending.append(names)

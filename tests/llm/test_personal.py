@@ -54,12 +54,62 @@ def test_beliefs_match_exact_marginals_on_a_chain():
     score, edges, w = np.array([1.0, -0.5, -0.2]), np.array([[0, 1], [1, 2]]), np.array([1.5, 0.7])
     z = {y: np.exp(sum(s * v for s, v in zip(score, y)) + sum(k for (a, b), k in zip(edges, w) if y[a] == y[b])) for y in itertools.product((0, 1), repeat=3)}
     exact = [np.log(sum(v for y, v in z.items() if y[i]) / sum(v for y, v in z.items() if not y[i])) for i in range(3)]
-    old = P.ROUNDS
-    P.ROUNDS = 60
+    old = P.SETTLED
+    P.SETTLED = 1e-9
     try:
         assert np.allclose(P.beliefs(score, edges, w), exact, atol=1e-6)
     finally:
-        P.ROUNDS = old
+        P.SETTLED = old
+
+
+@pytest.mark.parametrize("n", [1, 3, 40, 400])
+def test_every_mention_of_a_cued_name(crf, n):
+    text = "Dear Mirarin Kadeton said it. " + "Seen Mirarin Kadeton again. " * n
+    assert len(P.details([("X", ["walk", text])], crf)[0][1]) == n + 1
+    assert crf.chain > 0 and crf.mention > 0 and crf.slip > 0
+    plainly = "Dear Mirarin Kadeton said it. " + "Mirarin Kadeton walked. met Mirarin Kadeton " * n
+    assert len(P.details([("X", ["walk", plainly])], crf)[0][1]) == 2 * n + 1
+    thing = "title = 'Mirarin Ledger'. " + "Seen Mirarin Ledger again. " * n
+    assert P.details([("X", ["walk", thing])], crf)[0][1] == []
+    assert P.details([("X", ["walk", "Seen Mirarin Kadeton again. " * n])], crf)[0][1] == []
+
+
+def test_similar_names_against_brute_force():
+    import itertools
+    import random
+
+    from sundew.llm.words import one_slip
+
+    r = random.Random(3)
+    for size in (5, 200):
+        names = list({"".join(r.choices("abc", k=r.randrange(2, 6))) for _ in range(size)})
+        found = P.similar(names)
+        near = [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if one_slip(names[i], names[j])]
+        assert set(found) <= set(near)
+
+        def groups(pairs):
+            of = list(range(len(names)))
+            for i, j in list(pairs) * len(names):
+                of[i] = of[j] = min(of[i], of[j])
+            return of
+
+        assert groups(found) == groups(near)
+
+
+def test_long_user_parts_and_far_cues(crf):
+    user = "a1" * 60
+    assert P.plain_details(f"to {user}@x.example") == [(3, 3 + len(user) + len("@x.example"), "EMAIL")]
+    assert P.plain_details("-x@@y.example" + "@" * 50) == []
+    assert kinds("customer =" + " " * 90 + "'Halvik Morset'", crf) == {"PERSON"}
+    text = "INSERT INTO members VALUES (1, 'Halvik Morset'), (2, 'Bade Kaneton'), (3, 'Suvoren Mokabury');"
+    assert len(P.details([("X", ["walk", text])], crf)[0][1]) == 3
+
+
+def test_masked_mentions_across_texts(spark, crf):
+    rows = [(1, "X", "walk", "signed off by Halvik Morset", "met Halvik Morset and Halvik Morste\nthen Halvik Morset")]
+    df = spark.createDataFrame(rows, "finding_id long, pi_type string, match_text string, context string, context_after string")
+    out = P.masked(df, "finding_id", "pi_type", ["match_text", "context", "context_after"], crf).first()
+    assert (out.context, out.context_after) == ("signed off by [PERSON]", "met [PERSON] and [PERSON]\nthen [PERSON]")
 
 
 def test_held_out_accuracy(crf):
