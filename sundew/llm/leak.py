@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.llm.words import Coder, flat, mix, pieces
+from sundew.llm.words import Coder, flat, mix, pieces, window_starts
 from sundew.session import once
 
 ITEM_BLOCK = 20_000
@@ -41,13 +41,6 @@ FILTER_WORDS = 1 << 21
 OUTSIDE = np.uint64(0xB5297A4D3F84D5B5)
 
 
-def window_starts(starts: np.ndarray, size: int) -> np.ndarray:
-    """First word of each window that lies within one text."""
-    counts = np.maximum(np.diff(starts) - size + 1, 0)
-    offsets = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    return np.arange(counts.sum()) + offsets
-
-
 def cgk_keys(codes: np.ndarray, firsts: np.ndarray, size: int, repetition: int, samples: int) -> np.ndarray:
     """One LSH key per window: a hash of ``samples`` sampled positions of its CGK embedding of length 3 * size."""
     rng = np.random.default_rng(1000 + repetition)

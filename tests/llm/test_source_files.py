@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sundew.llm import source_files as S
 
 rng = random.Random(5)
@@ -35,7 +37,7 @@ def test_files(spark):
     library, own = code(), code()
     note = "# fastlib 2.1.0\n# Copyright (c) 2021 Someone. Released under the Apache License.\n"
     rows = [(1, "https://h.example/fastlib-project/fastlib", "src/fastlib.py", False, note + library)]
-    rows += [(10 + i, f"https://h.example/o/r{i}", f"src/util/helper{i}.py", None, library.replace("    ", "\t").replace("\n", "\r\n")) for i in range(3)]
+    rows += [(10 + i, f"https://h.example/o{i}/r{i}", f"src/util/helper{i}.py", None, library.replace("    ", "\t").replace("\n", "\r\n")) for i in range(3)]
     rows += [(20, "https://h.example/o/r9", "vendor/fastlib.py", False, note + code(2)), (21, "https://h.example/o/r1", "src/a.py", False, own), (21, "https://h.example/o/r1", "src/a.py", False, own)]
     rows += [(30, "https://h.example/o/r1", "a.js", True, None), (31, "https://h.example/o/r1", "a.png", True, None), (32, None, None, None, ""), (33, None, None, None, None)]
     rows += [(40 + i, f"https://h.example/o/r{i}", "src/x.py", False, "x = 1\n") for i in range(5)]
@@ -45,6 +47,33 @@ def test_files(spark):
     assert S.not_hand_written(df.limit(0)).count() == 0
 
 
+def test_copies_within_one_owner_are_its_own(spark):
+    text = code()
+    near = [text.replace("return", "return ", 1) + f"x{i} = {i}\n" for i in range(4)]
+    rows = [(i, f"https://h.example/one/r{i}", f"a{i}.py", False, text) for i in range(5)]
+    df = spark.createDataFrame(rows, "file_id long, repo_url string, rel_path string, is_binary boolean, file_text string")
+    assert S.not_hand_written(df).count() == 0
+    rows = [(i, f"https://h.example/o{i}/r", f"a{i}.py", False, t) for i, t in enumerate(near)]  # no two alike
+    df = spark.createDataFrame(rows, "file_id long, repo_url string, rel_path string, is_binary boolean, file_text string")
+    assert {r.file_id for r in S.not_hand_written(df).collect()} == {0, 1, 2, 3}
+
+
+def test_fingerprints_against_brute_force():
+    r = np.random.default_rng(2)
+    texts = [S.mix(r.integers(0, 6, n).astype(np.uint64)) for n in (0, 5, 23, 24, 25, 31, 32, 33, 200, 0, 90)]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    of, prints = S.fingerprints(np.concatenate(texts), starts)
+    for i, t in enumerate(texts):
+        h = []
+        for k in range(len(t) - S.K + 1):
+            total = sum(int(c) * pow(int(S.BASE), j, 1 << 64) for j, c in enumerate(t[k : k + S.K])) % (1 << 64)
+            h.append(int(S.mix(np.array([total], np.uint64))[0]))
+        want = {min(h[k : k + S.W]) for k in range(len(h) - S.W + 1)} if len(h) > S.W else set(h)
+        assert sorted(prints[of == i].tolist()) == sorted(want)
+    alone = [set(S.fingerprints(t, np.array([0, len(t)]))[1].tolist()) for t in texts]
+    assert alone == [set(prints[of == i].tolist()) for i in range(len(texts))]
+
+
 def test_repository_key(spark):
     rows = [("https://H.example/O/r.git",), ("git@h.example:o/r",), ("h.example/o/r/",)]
     assert {r.k for r in spark.createDataFrame(rows, "u string").select(S.repository_key(S.F.col("u")).alias("k")).collect()} == {"h.example/o/r"}
