@@ -81,7 +81,7 @@ def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(spark, sf_dir, "documents")).where(F.col("repeated_share") >= 0.4).select("doc_id")
+    return repetition.repetition(table(spark, sf_dir, "documents")).where(~F.col("retained")).select("doc_id")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

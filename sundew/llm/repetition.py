@@ -1,9 +1,10 @@
 """Repetition inside a document: lines labelled content or boilerplate by a linear-chain CRF, and measured exactly.
 
-A document is cut into units (lines, and sentences of long lines).  Each unit has features of how much of it lies in
-stretches of ``size`` words that recur in the document.  The chain's Viterbi path marks units as boilerplate (said
-again) or content; the share of words in boilerplate units is what a retention rule looks at.  ``repetition`` gives this
-share, whether it clears the document, and the exact share of repeated words of every document, cleared or not.
+A document is cut into units (lines, and sentences of long lines).  Each unit has features of its own (is it said
+again word for word, how many of its words other units use, how many it repeats itself, is it short) and of how much of
+it lies in stretches of ``size`` words that recur in the document.  The chain's Viterbi path marks units as boilerplate
+(said again) or content; the share of words in content units decides whether a document is retained.  ``repetition``
+gives these, and beside them the exact share of repeated words of every document, retained or not.
 
 The CRF's weights are trained here, by maximum likelihood (forward-backward) on ``TRAINING_DOCUMENTS`` documents made
 by a fixed generator, whose labels are known; they take a second and depend on no data.
@@ -27,7 +28,7 @@ from sundew.llm.words import WORD, Coder, mix, pieces
 
 SIZE = 8
 TRAINING_DOCUMENTS = 120
-N_FEATURES = 5
+N_FEATURES = 8
 LABELS = 2
 LIST_NUMBER = re.compile(r"^[\s>*•|+-]*(?:\d{1,6}[.):]|[a-zA-Z][.)]|\(\d{1,6}\)|[ivxIVX]{1,6}[.)])(?=\s)")
 UNIT = re.compile(r"\r\n|[\r\n\u0085  ]|(?<=[.!?])\s+")
@@ -68,12 +69,35 @@ def covered(codes: np.ndarray, starts: np.ndarray, size: int = SIZE) -> np.ndarr
     return np.cumsum(cover[:-1]) > 0
 
 
-def features(cover: np.ndarray, unit_starts: np.ndarray) -> np.ndarray:
-    """Per unit: bias, share of covered words, any covered, all covered, is short."""
+def features(cover: np.ndarray, codes: np.ndarray, unit_starts: np.ndarray, unit_firsts: np.ndarray) -> np.ndarray:
+    """Per unit: bias, share of covered words, any covered, all covered, is short, is said again, share of words that other
+    units of its document use, share of words that it repeats itself.
+
+    ``unit_starts`` are the first words of the units, ``unit_firsts`` the first units of the documents.
+    """
     length = np.diff(unit_starts)
-    sums = np.add.reduceat(cover.astype(np.float64), unit_starts[:-1]) if len(length) else np.zeros(0)
-    share = sums / np.maximum(length, 1)
-    return np.stack([np.ones(len(length)), share, share > 0, share >= 1, length < SIZE], 1).astype(np.float64)
+    n = len(length)
+    if not n:
+        return np.zeros((0, N_FEATURES))
+    share = np.add.reduceat(cover.astype(np.float64), unit_starts[:-1]) / length
+    unit = np.repeat(np.arange(n), length)
+    document = np.repeat(np.arange(len(unit_firsts) - 1), np.diff(unit_firsts)).astype(np.uint64)
+    place = (np.arange(len(codes)) - unit_starts[unit]).astype(np.uint64)
+    whole = mix(np.add.reduceat(codes * (mix(place + np.uint64(9)) | np.uint64(1)), unit_starts[:-1]) + mix(document + np.uint64(3)))
+    order = np.argsort(whole, kind="stable")
+    same = whole[order][1:] == whole[order][:-1]
+    again = np.zeros(n, bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    word = codes ^ mix(document[unit] + np.uint64(11))  # a word of one document
+    order = np.lexsort((unit, word))
+    w, u = word[order], unit[order]
+    new_word = np.concatenate([[True], w[1:] != w[:-1]])
+    new_pair = new_word | np.concatenate([[True], u[1:] != u[:-1]])
+    number = np.cumsum(new_word) - 1
+    shared = np.bincount(number, new_pair)[number] > 1
+    known = np.bincount(u, shared, n) / length
+    repeats = 1 - np.bincount(u[new_pair], minlength=n) / length
+    return np.stack([np.ones(n), share, share > 0, share >= 1, length < SIZE, again, known, repeats], 1).astype(np.float64)
 
 
 class LineCrf:
@@ -145,7 +169,7 @@ def training_chains(seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.default_rng(seed)
     chains = []
     for d in range(TRAINING_DOCUMENTS):
-        pool = [rng.integers(1, 1 << 40, rng.integers(3, 25)) for _ in range(rng.integers(2, 16))]
+        pool = [(1 + 3000 * rng.random(rng.integers(3, 25)) ** 3).astype(np.int64) for _ in range(rng.integers(2, 16))]  # some words are frequent
         rows = [(u, 0) for u in pool]
         if d % 4:
             for k in rng.choice(len(pool), rng.integers(1, min(4, len(pool) + 1)), replace=False):
@@ -156,7 +180,7 @@ def training_chains(seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
         words = np.concatenate([u for u, _ in rows]).astype(np.uint64)
         starts = np.concatenate([[0], np.cumsum([len(u) for u, _ in rows])])
         cover = covered(mix(words), np.array([0, len(words)]))
-        chains.append((features(cover, starts), np.array([y for _, y in rows])))
+        chains.append((features(cover, mix(words), starts, np.array([0, len(rows)])), np.array([y for _, y in rows])))
     return chains
 
 
@@ -164,11 +188,12 @@ def trained() -> LineCrf:
     return LineCrf().fit(training_chains())
 
 
-def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", clear_below: float = 0.1, crf: LineCrf | None = None) -> DataFrame:
-    """(id, words, boilerplate_share, repeated_share, cleared) of each row.
+def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_content: float = 0.6, crf: LineCrf | None = None) -> DataFrame:
+    """(id, words, boilerplate_share, repeated_share, retained) of each row.
 
-    ``boilerplate_share`` is the share of words in units that the Viterbi path marks as boilerplate; documents with less
-    than ``clear_below`` are ``cleared``.  ``repeated_share`` is exact for every document, whatever its labels.
+    ``boilerplate_share`` is the share of words in units that the Viterbi path marks as boilerplate; a document is
+    ``retained`` if more than ``least_content`` of its words are content.  ``repeated_share`` is exact for every document,
+    whatever its labels.
     """
     crf = crf or trained()
     schema = T.StructType(
@@ -177,7 +202,7 @@ def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             T.StructField("words", T.LongType()),
             T.StructField("boilerplate_share", T.DoubleType()),
             T.StructField("repeated_share", T.DoubleType()),
-            T.StructField("cleared", T.BooleanType()),
+            T.StructField("retained", T.BooleanType()),
         ]
     )
 
@@ -194,13 +219,14 @@ def repetition(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     starts.append(len(codes))
                     unit_firsts.append(len(unit_starts) - 1)
                 bounds, edges, firsts = np.array(starts), np.array(unit_starts), np.array(unit_firsts)
-                cover = covered(mix(np.array(codes, np.uint64)), bounds)
-                label = crf.viterbi(features(cover, edges), firsts)
+                mixed = mix(np.array(codes, np.uint64))
+                cover = covered(mixed, bounds)
+                label = crf.viterbi(features(cover, mixed, edges, firsts), firsts)
                 sums = np.concatenate([[0], np.cumsum(np.repeat(label, np.diff(edges)))])
                 exact = np.concatenate([[0], np.cumsum(cover)])
                 words = np.diff(bounds)
                 marked = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(words, 1)
                 share = (exact[bounds[1:]] - exact[bounds[:-1]]) / np.maximum(words, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(marked), pa.array(share), pa.array(marked < clear_below)], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(marked), pa.array(share), pa.array(1 - marked > least_content)], schema.names)
 
     return df.select(F.col(id_column).cast("bigint"), F.col(text_column).cast("string")).mapInArrow(kernel, schema)

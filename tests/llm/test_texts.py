@@ -103,10 +103,10 @@ def test_repetition_equals_brute_force(spark):
         docs.append((d, rng.choice(["\n", ". ", "\r\n"]).join(f"{i + 1}. {p}" if d % 2 else p.upper() if i % 2 else p for i, p in enumerate(parts))))
     df = spark.createDataFrame([(*d, 3) for d in docs], "doc_id long, text string, words int")
     crf = R.trained()
-    rows = {r.doc_id: r for r in R.repetition(df, clear_below=0.0, crf=crf).collect()}
+    rows = {r.doc_id: r for r in R.repetition(df, crf=crf).collect()}
     assert all(abs(rows[d].repeated_share - share(t or "")) < 1e-12 for d, t in docs)
-    cleared = {r.doc_id: r.repeated_share for r in R.repetition(df, crf=crf).collect()}
-    assert all((cleared[d] >= 0.4) == (rows[d].repeated_share >= 0.4) for d, _ in docs)
+    again = {r.doc_id: r.repeated_share for r in R.repetition(df, crf=crf).collect()}
+    assert all((again[d] >= 0.4) == (rows[d].repeated_share >= 0.4) for d, _ in docs)
     assert R.repetition(df.limit(0), crf=crf).count() == 0
 
 
