@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.session import shuffle_tasks
+from sundew.session import durable, shuffle_tasks
 
 BUCKETS_PER_TASK = 16
 
@@ -36,16 +36,12 @@ def key_loads(df: DataFrame, columns: list[str]) -> DataFrame:
 def heavy_keys(df: DataFrame, columns: list[str], share: float) -> DataFrame:
     """(key_kind, key_value, load, total): the non-null values that hold at least ``share`` of all rows of ``df``.
 
-    Ties at the border are kept; no rows give no keys.  The total is a scalar subquery, counted from the parquet
-    footers or one column, never collected.
+    These are heavy keys of the shard plans for tasks of at most that share, whose exact loads the plans hold; a plan has
+    less than 1 / ``share`` + 1 of them.  Ties at the border are kept; no rows give no keys.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        key_loads(df, columns)
-        .where(F.col("key_value").isNotNull())
-        .withColumn("total", total)
-        .where(F.col("load") >= F.lit(share) * F.col("total"))
-    )
+    plans = plan_columns(df, columns, int(1 / share) + 1)
+    rows = [(c, k, n, p.total + p.nulls) for c, p in plans.items() for k, n in sorted(p.loads.items()) if n >= share * (p.total + p.nulls)]
+    return df.sparkSession.createDataFrame(rows, "key_kind string, key_value string, load long, total long")
 
 
 @dataclass
@@ -55,6 +51,7 @@ class ShardPlan:
     tasks: int
     target: int
     total: int = 0
+    nulls: int = 0
     heavy: dict[str, list[int]] = field(default_factory=dict)
     loads: dict[str, int] = field(default_factory=dict)
     buckets: list[int] = field(default_factory=list)
@@ -74,7 +71,8 @@ def pack(heavy: list[tuple[str, int]], buckets: list[int], tasks: int) -> ShardP
     items += [(n, 1, i) for i, n in enumerate(buckets)]
     items.sort(key=lambda x: (-x[0], x[1], str(x[2])))
     heap = [(0, t) for t in range(tasks)]
-    plan = ShardPlan(tasks, target, total, {k: [] for k, _ in heavy}, dict(heavy), [0] * len(buckets))
+    plan = ShardPlan(tasks, target, total, 0, {k: [] for k, _ in heavy}, dict(heavy), [0] * len(buckets))
+    taken: dict[str, set[int]] = {k: set() for k, _ in heavy}
     for load, light, key in items:
         if light:
             at, t = heapq.heappop(heap)
@@ -84,43 +82,53 @@ def pack(heavy: list[tuple[str, int]], buckets: list[int], tasks: int) -> ShardP
         put_back = []
         while True:  # shards of one key go to different tasks
             at, t = heapq.heappop(heap)
-            if t not in plan.heavy[key]:
+            if t not in taken[key]:
                 break
             put_back.append((at, t))
         plan.heavy[key].append(t)
+        taken[key].add(t)
         for x in put_back + [(at + load, t)]:
             heapq.heappush(heap, x)
     return plan
 
 
-def plan_shards(df: DataFrame, key: str, tasks: int | None = None) -> ShardPlan:
-    """Plan for the non-null values of ``df[key]``: one counting pass, then bin packing.
+def plan_columns(df: DataFrame, columns: list[str], tasks: int) -> dict[str, ShardPlan]:
+    """A plan for the non-null values of each column: one counting pass for all, then bin packing.
 
-    To the driver come at most ``tasks`` heavy keys (each holds more than 1/tasks of the rows) and
-    ``BUCKETS_PER_TASK * tasks`` bucket sums.
+    To the driver come, per column, at most ``tasks`` heavy keys (each holds more than 1/tasks of the rows),
+    ``BUCKETS_PER_TASK * tasks`` bucket sums and the number of nulls.
     """
-    tasks = tasks or shuffle_tasks(df.sparkSession)
     n_buckets = BUCKETS_PER_TASK * tasks
-    loads = key_loads(df.where(F.col(key).isNotNull()), [key])
-    total = df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n")).scalar()
-    marked = loads.select(
-        F.when(F.col("load") * F.lit(tasks) > total, F.col("key_value")).alias("key_value"),
-        F.pmod(F.xxhash64("key_value"), F.lit(n_buckets)).cast("int").alias("bucket"),
-        "load",
-    )
+    loads = durable(key_loads(df, columns))  # small against the table, and read twice
+    totals = {r.key_kind: (r.total or 0, r.nulls or 0) for r in loads.groupBy("key_kind").agg(
+        F.sum(F.when(F.col("key_value").isNotNull(), F.col("load"))).alias("total"), F.sum(F.when(F.col("key_value").isNull(), F.col("load"))).alias("nulls")
+    ).collect()}
+    total = F.lit(0)
+    for c, (n, _) in totals.items():
+        total = F.when(F.col("key_kind") == c, n).otherwise(total)
+    heavy = F.when(F.col("load") * F.lit(tasks) > total, F.col("key_value"))
+    bucket = F.pmod(F.xxhash64("key_value"), F.lit(n_buckets)).cast("int")
     rows = (
-        marked.groupBy("key_value", F.when(F.col("key_value").isNull(), F.col("bucket")).alias("bucket"))
+        loads.where(F.col("key_value").isNotNull())
+        .groupBy("key_kind", heavy.alias("key_value"), F.when(heavy.isNull(), bucket).alias("bucket"))
         .agg(F.sum("load").alias("load"))
         .collect()
     )
-    buckets = [0] * n_buckets
-    heavy = []
-    for r in rows:
-        if r.key_value is None:
-            buckets[r.bucket] = r.load
-        else:
-            heavy.append((r.key_value, r.load))
-    return pack(sorted(heavy), buckets, tasks)
+    plans = {}
+    for c in columns:
+        mine = [r for r in rows if r.key_kind == c]
+        buckets = [0] * n_buckets
+        for r in mine:
+            if r.key_value is None:
+                buckets[r.bucket] = r.load
+        plans[c] = pack(sorted((r.key_value, r.load) for r in mine if r.key_value is not None), buckets, tasks)
+        plans[c].nulls = totals.get(c, (0, 0))[1]
+    return plans
+
+
+def plan_shards(df: DataFrame, key: str, tasks: int | None = None) -> ShardPlan:
+    """Plan for the non-null values of ``df[key]``; by default for as many tasks as the session's shuffles have."""
+    return plan_columns(df, [key], tasks or shuffle_tasks(df.sparkSession))[key]
 
 
 def _murmur3_int(value: int, seed: int = 42) -> int:
@@ -187,7 +195,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, on: str, plan: Sh
 def balanced_aggregate(df: DataFrame, key: str, partial: dict[str, Column], merge: dict[str, Column], plan: ShardPlan) -> DataFrame:
     """Per-key results of a skewed table: ``partial`` per (key, shard), then ``merge`` over a key's shards.
 
-    ``partial`` may hold aggregates without a map-side combine; a shard holds about ``plan.target`` rows.
+    For aggregates without a map-side combine; a shard holds about ``plan.target`` rows.  Where map tasks can combine
+    (counts, sums, extremes) a plain ``groupBy`` has no imbalance and shuffles less.
     Null keys give no row.
     """
     spread = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")])

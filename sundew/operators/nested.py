@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: kind -> (fields leading to child kinds, scalars kept by name and path)
+#: kind -> (fields leading to child kinds, scalars kept by name and path); scalars named in NUMBERS are whole numbers
 SARIF_GRAMMAR = {
     "report": ({"runs": "run"}, {"version": ("version",)}),
     "run": ({"results": "result", "invocations": "invocation"}, {"tool": ("tool", "driver", "name"), "tool_version": ("tool", "driver", "version")}),
@@ -39,25 +41,42 @@ SARIF_GRAMMAR = {
     "fix": ({}, {"description": ("description", "text")}),
 }
 
-NODE_SCHEMA = T.StructType(
-    [
+NUMBERS = frozenset(("line", "column"))
+FLAGS = frozenset(("ok",))
+#: Subtype -> (kind, states that its variant has, states that it lacks); the first that fits takes the node.
+SARIF_SUBTYPES = {
+    "unlocated_result": ("result", [], ["locations:array", "locations:object"]),
+    "located_result": ("result", [], []),
+    "file_location": ("location", ["+uri"], []),
+    "logical_location": ("location", ["+logical"], ["+uri"]),
+    "bare_location": ("location", [], ["+uri", "+logical"]),
+    "invocation": ("invocation", [], []),
+    "fix": ("fix", [], []),
+}
+
+
+def scalar_type(name: str) -> T.DataType:
+    return T.LongType() if name in NUMBERS else T.BooleanType() if name in FLAGS else T.StringType()
+
+
+def node_schema(grammar: dict) -> T.StructType:
+    """Columns common to all nodes, then one typed struct per kind that has scalars, null for other kinds' nodes."""
+    common = [
         T.StructField("record_id", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("variant", T.StringType()),
         T.StructField("positions", T.ArrayType(T.IntegerType())),
         T.StructField("parent_kind", T.StringType()),
-        T.StructField("children", T.MapType(T.StringType(), T.IntegerType())),
-        T.StructField("scalars", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("rest", T.StringType()),
     ]
-)
+    typed = [T.StructField(k, T.StructType([T.StructField(n, scalar_type(n)) for n in scalars])) for k, (_, scalars) in grammar.items() if scalars]
+    return T.StructType(common + typed)
 
 
 def unwrap(body: str | None) -> dict | None:
     """The one object that a body holds, or None.  A byte-order mark, white space, a Markdown fence and JSON text
-    within JSON text (to any sensible depth) are wrappings."""
-    for _ in range(8):
-        if body is None:
-            return None
+    within JSON text, to any depth, are wrappings; each is longer than what it wraps, so the end is reached."""
+    while body is not None:
         text = body.lstrip("﻿").strip()
         if text.startswith("```") and text.endswith("```") and len(text) > 6:
             text = text[3:-3]
@@ -83,117 +102,171 @@ def _elements(value: object) -> tuple[str, list]:
     if isinstance(value, dict):
         return "object", [value]
     if isinstance(value, list):
-        return ("array" if value else "empty"), value
+        return ("array" if any(isinstance(x, dict) for x in value) else "hollow" if value else "empty"), value
     return ("null" if value is None else "other"), []
 
 
-def _scalar(node: dict, path: tuple[str, ...]) -> str | None:
+def _scalar(node: dict, path: tuple[str, ...], kind: T.DataType) -> object:
     value: object = node
     for name in path:
         if not isinstance(value, dict):
             return None
         value = value.get(name)
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, sort_keys=True)
+    if value is None:
+        return None
+    if isinstance(kind, T.BooleanType):
+        return value if isinstance(value, bool) else None
+    if isinstance(kind, T.LongType):
+        return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63 else None
+    return value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+
+
+def _rest(node: dict, fields: dict, taken: list[tuple[str, ...]]) -> str | None:
+    """What is neither walked nor kept, as JSON; None if there is nothing."""
+    out: dict = {}
+    for name, value in node.items():
+        if name in fields:
+            shape, items = _elements(value)
+            loose = {str(i): x for i, x in enumerate(items) if x is not None and not isinstance(x, dict)}
+            if shape == "other" or loose:
+                out[name] = value if shape == "other" else loose
+            continue
+        paths = [p[1:] for p in taken if p[0] == name]
+        if not paths:
+            out[name] = value
+        elif isinstance(value, dict) and () not in paths:
+            inner = _rest(value, {}, paths)
+            if inner:
+                out[name] = json.loads(inner)
+    return json.dumps(out, sort_keys=True) if out else None
 
 
-def walk(root: dict, grammar: dict, start: str) -> Iterator[tuple]:
-    """Rows (kind, variant, positions, parent kind, child counts, scalars) of the accepted nodes, parents after children."""
-    fields, scalars = grammar[start]
+def walk(root: dict, grammar: dict, start: str, rest: bool = False) -> Iterator[tuple]:
+    """Rows (kind, variant, positions, parent kind, rest, scalars) of the accepted nodes, parents before children."""
     stack = [(start, root, (), None)]
     while stack:
         kind, node, at, parent = stack.pop()
         fields, scalars = grammar[kind]
-        states, counts = [], {}
+        states = []
         for name, child in fields.items():
             shape, items = _elements(node[name]) if name in node else ("absent", [])
             states.append(f"{name}:{shape}")
-            counts[name] = sum(isinstance(x, dict) for x in items)
             stack += [(child, x, (*at, i), kind) for i, x in enumerate(items) if isinstance(x, dict)]
-        kept = {name: v for name, path in scalars.items() if (v := _scalar(node, path)) is not None}
+        kept = {name: v for name, path in scalars.items() if (v := _scalar(node, path, scalar_type(name))) is not None}
         states += [f"+{name}" for name in kept]
-        yield kind, ",".join(states), list(at), parent, counts, kept
-
-
-def shred(df: DataFrame, id_column: str, body_column: str, grammar: dict = SARIF_GRAMMAR, start: str = "report") -> DataFrame:
-    """Node rows (``NODE_SCHEMA``) of all bodies; one pass, no shuffle, a record's nodes stay in its partition."""
-    arrow = pa.schema(
-        [
-            ("record_id", pa.int64()),
-            ("kind", pa.string()),
-            ("variant", pa.string()),
-            ("positions", pa.list_(pa.int32())),
-            ("parent_kind", pa.string()),
-            ("children", pa.map_(pa.string(), pa.int32())),
-            ("scalars", pa.map_(pa.string(), pa.string())),
-        ]
-    )
+        over = _rest(node, fields, [path for name, path in scalars.items() if name in kept]) if rest else None
+        yield kind, ",".join(states), list(at), parent, over, kept
+
+
+def shred(df: DataFrame, id_column: str, body_column: str, grammar: dict = SARIF_GRAMMAR, start: str = "report", rest: bool = False) -> DataFrame:
+    """Node rows (``node_schema``) of all bodies; one pass, no shuffle, a record's nodes stay in its partition."""
+    schema = node_schema(grammar)
+    arrow = to_arrow_schema(schema)
+    kinds = [f.name for f in schema.fields[6:]]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        common = [pa.array(list(c), f.type) for c, f in zip(zip(*[r[:6] for r in rows]), arrow)]
+        typed = [pa.array([r[6] if r[1] == k else None for r in rows], arrow.field(k).type) for k in kinds]
+        return pa.RecordBatch.from_arrays(common + typed, schema=arrow)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for rid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = unwrap(body)
-                if root is None or rid is None:
-                    continue
-                out += [(rid, k, v, p, pk, list(c.items()), list(s.items())) for k, v, p, pk, c, s in walk(root, grammar, start)]
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-    return df.select(F.col(id_column).cast("bigint"), F.col(body_column).cast("string")).mapInArrow(kernel, NODE_SCHEMA)
-
-
-def subtype_table(nodes: DataFrame, kind: str, has: list[str] = (), lacks: list[str] = ()) -> DataFrame:
-    """The nodes of one supertype whose variant has and lacks the given states, its scalars as columns."""
-    t = nodes.where(F.col("kind") == kind)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):  # bodies become objects some at a time
+                batch = whole.slice(at, 200)
+                out: list[tuple] = []
+                for rid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    root = unwrap(body)
+                    if root is None or rid is None:
+                        continue
+                    out += [(rid, k, v, p, pk, o, s) for k, v, p, pk, o, s in walk(root, grammar, start, rest)]
+                    if len(out) >= 20_000:
+                        yield made(out)
+                        out = []
+                if out:
+                    yield made(out)
+
+    return df.select(F.col(id_column).cast("bigint"), F.col(body_column).cast("string")).mapInArrow(kernel, schema)
+
+
+def fits(states: Column, has: list[str], lacks: list[str]) -> Column:
+    """Has a variant (as an array of states) all of ``has`` and none of ``lacks``?"""
+    return reduce(lambda a, b: a & b, [*[F.array_contains(states, s) for s in has], *[~F.array_contains(states, s) for s in lacks]], F.lit(True))
+
+
+def routed(nodes: DataFrame, subtypes: dict = SARIF_SUBTYPES) -> DataFrame:
+    """The nodes that belong to a subtype, with its name in ``subtype``; one pass routes to all of them."""
     states = F.split("variant", ",")
-    for s in has:
-        t = t.where(F.array_contains(states, s))
-    for s in lacks:
-        t = t.where(~F.array_contains(states, s))
-    return t
+    name = F.coalesce(*[F.when((F.col("kind") == k) & fits(states, has, lacks), F.lit(n)) for n, (k, has, lacks) in subtypes.items()])
+    return nodes.withColumn("subtype", name).where(F.col("subtype").isNotNull())
+
+
+def subtype_table(nodes: DataFrame, kind: str, has: list[str] = (), lacks: list[str] = (), grammar: dict = SARIF_GRAMMAR) -> DataFrame:
+    """The typed table of the nodes of one supertype whose variant has and lacks the given states: record_id, the position
+    of each ancestor and of itself (``<kind>_no``), variant, its scalars as typed columns, and rest."""
+    line = [kind]
+    while parent := next((k for k, (fields, _) in grammar.items() if line[0] in fields.values()), None):
+        line.insert(0, parent)
+    places = [F.get("positions", F.lit(i)).alias(f"{k}_no") for i, k in enumerate(line[1:])]
+    scalars = [F.col(f"{kind}.{c}").alias(c) for c in grammar[kind][1]]
+    return nodes.where((F.col("kind") == kind) & fits(F.split("variant", ","), list(has), list(lacks))).select("record_id", *places, "variant", *scalars, "rest")
+
+
+def native_variant(value: Column, schema: T.StructType) -> Column:
+    """The variant of a native struct by the rules for JSON: the shape of each nested field, and the scalars that it has."""
+    states = []
+    for f in schema.fields:
+        x = value[f.name]
+        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            states.append(F.when(x.isNull(), f"{f.name}:null").when(F.size(x) > 0, f"{f.name}:array").otherwise(f"{f.name}:empty"))
+        elif isinstance(f.dataType, T.StructType):
+            states.append(F.when(x.isNull(), f"{f.name}:null").otherwise(f"{f.name}:object"))
+            states += [F.when(x[g.name].isNotNull(), f"+{g.name}") for g in f.dataType.fields if not isinstance(g.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        else:
+            states.append(F.when(x.isNotNull(), f"+{f.name}"))
+    return F.concat_ws(",", *states)
 
 
 def sarif_items(reports: DataFrame) -> DataFrame:
     """(record_kind, record_id, parent_no, child_no, leaf_no, item_key): one row per location of each result; a
-    result without a location gives one row with leaf_no -1 and an empty key."""
-    nodes = shred(reports, "report_id", "body")
+    result without a location gives one row with leaf_no -1 and an empty key.
+
+    Rows of the subtypes file, logical and bare location, and of unlocated results.
+    """
     at = F.col("positions")
-    bare = (F.col("kind") == "result") & (F.coalesce(F.col("children")["locations"], F.lit(0)) == 0)
-    return nodes.where((F.col("kind") == "location") | bare).select(
+    located = F.col("subtype") != "unlocated_result"
+    nodes = routed(shred(reports, "report_id", "body")).where(F.col("subtype").isin("file_location", "logical_location", "bare_location", "unlocated_result"))
+    return nodes.select(
         F.lit("result").alias("record_kind"),
         "record_id",
         F.get(at, F.lit(0)).alias("parent_no"),
         F.get(at, F.lit(1)).alias("child_no"),
-        F.when(F.col("kind") == "location", F.get(at, F.lit(2))).otherwise(F.lit(-1)).alias("leaf_no"),
-        F.when(F.col("kind") == "location", F.coalesce(F.col("scalars")["uri"], F.lit(""))).otherwise(F.lit("")).alias("item_key"),
+        F.when(located, F.get(at, F.lit(2))).otherwise(F.lit(-1)).alias("leaf_no"),
+        F.when(F.col("subtype") == "file_location", F.col("location.uri")).otherwise(F.lit("")).alias("item_key"),
     )
 
 
-def finding_table(results: DataFrame) -> DataFrame:
-    """One row per non-null element of ``scan_results.findings``: parent id, position, variant and typed fields.
+#: Subtypes of a finding nested in a scan's result, by its variant; as ``SARIF_SUBTYPES``.
+FINDING_SUBTYPES = {
+    "plain": ("finding", ["validation:null"], []),
+    "failed": ("finding", ["+validation_error"], []),
+    "validated": ("finding", [], ["validation:null", "+validation_error"]),
+}
 
-    The variant says which optional parts the element has: ``validated``, ``failed`` (a validation error) or ``plain``.
-    """
+
+def finding_table(results: DataFrame) -> DataFrame:
+    """One row per non-null element of ``scan_results.findings``: parent id, position, subtype (as ``variant``) and typed
+    fields."""
     f = F.col("f")
-    variant = (
-        F.when(f["validation"].isNull(), "plain").when(f["validation"]["validation_error"].isNotNull(), "failed").otherwise("validated")
-    )
-    return (
-        results.select("result_id", F.posexplode("findings").alias("position", "f"))
-        .where(f.isNotNull())
-        .select(
-            "result_id",
-            "position",
-            variant.alias("variant"),
-            *[f[c].alias(c) for c in ("pi_type", "match_text", "file_path", "line_no", "col_no", "risk_level", "confidence")],
-            f["validation"]["validated"].alias("validated"),
-            f["validation"]["validation_error"].alias("validation_error"),
-        )
+    schema = results.schema["findings"].dataType.elementType
+    nodes = results.select("result_id", F.posexplode("findings").alias("position", "f")).where(f.isNotNull())
+    nodes = nodes.select("result_id", "position", "f", F.lit("finding").alias("kind"), native_variant(f, schema).alias("variant"))
+    return routed(nodes, FINDING_SUBTYPES).select(
+        "result_id",
+        "position",
+        F.col("subtype").alias("variant"),
+        *[f[c].alias(c) for c in ("pi_type", "match_text", "file_path", "line_no", "col_no", "risk_level", "confidence")],
+        f["validation"]["validated"].alias("validated"),
+        f["validation"]["validation_error"].alias("validation_error"),
     )
 
 

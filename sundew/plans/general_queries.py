@@ -10,21 +10,19 @@ from sundew.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy keys of a shard plan for tasks of a fiftieth of the rows, of both columns."""
     return hot_keys.heavy_keys(table(spark, sf_dir, "findings"), ["file_path", "repo_url"], 0.02).select("key_kind", "key_value")
 
 
 def p1_file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per stored file path: rows, validated rows and span of lines."""
     findings = table(spark, sf_dir, "findings").select("file_path", "validated", "line_no")
-    plan = hot_keys.plan_shards(findings, "file_path")
-    partial = {
-        "n": F.count(F.lit(1)),
-        "n_valid": F.count_if("validated"),
-        "lo": F.min("line_no"),
-        "hi": F.max("line_no"),
-    }
-    merge = {"n_findings": F.sum("n"), "n_validated": F.sum("n_valid"), "first_line": F.min("lo"), "last_line": F.max("hi")}
-    return hot_keys.balanced_aggregate(findings, "file_path", partial, merge, plan)
+    # map tasks combine these, so a hot path sends one row per task; shards would send them all
+    return (
+        findings.where(F.col("file_path").isNotNull())
+        .groupBy("file_path")
+        .agg(F.count(F.lit(1)).alias("n_findings"), F.count_if("validated").alias("n_validated"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    )
 
 
 def p1_repo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +61,18 @@ def p2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("kind", "variant").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def p2_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of SARIF results that have a location."""
+    nodes = nested.shred(table(spark, sf_dir, "sarif_reports"), "report_id", "body")
+    return nested.subtype_table(nodes, "result", lacks=nested.SARIF_SUBTYPES["unlocated_result"][2]).drop("variant", "rest")
+
+
+def p2_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of SARIF locations in a file, with what the report says besides as JSON in ``rest``."""
+    nodes = nested.shred(table(spark, sf_dir, "sarif_reports"), "report_id", "body", rest=True)
+    return nested.subtype_table(nodes, "location", has=["+uri"])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_file_results": p1_file_results,
@@ -71,6 +81,8 @@ QUERIES = {
     "p2_findings": p2_findings,
     "p2_stats": p2_stats,
     "p2_variants": p2_variants,
+    "p2_results": p2_results,
+    "p2_locations": p2_locations,
 }
 
 ORACLE = {

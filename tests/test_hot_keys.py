@@ -68,3 +68,10 @@ def test_empty_table(spark):
     plan = hot_keys.plan_shards(empty, "k")
     assert not plan.heavy
     assert hot_keys.fragment_replicate_join(empty, empty, "k", plan).count() == 0
+
+
+def test_plans_of_several_columns_from_one_count(spark):
+    df = skewed(spark)
+    plans = hot_keys.plan_columns(df, ["k", "v"], 51)
+    assert plans["k"].loads["hot"] == 2000 and (plans["k"].total, plans["k"].nulls) == (3000, 2)
+    assert (plans["v"].total, plans["v"].nulls) == (3001, 1) and sum(plans["v"].loads.values()) == 3001

@@ -15,6 +15,28 @@ def test_unwrap():
         assert nested.unwrap(text) is None
 
 
+def test_any_depth_of_wrapping():
+    text = json.dumps({"runs": []})
+    for _ in range(14):
+        text = json.dumps(text)
+    assert nested.unwrap(text) == {"runs": []}
+
+
+def test_subtypes_are_typed_and_keep_the_rest(spark):
+    place = {"physicalLocation": {"artifactLocation": {"uri": "a", "index": 3}, "region": {"startLine": 4, "startColumn": "x"}}, "id": 7}
+    body = {"runs": [{"results": [{"ruleId": "R", "message": {"text": "m", "markdown": "*m*"}, "locations": [place, "odd"], "extra": [1]}, {"locations": [None]}], "columnKind": "u"}]}
+    df = spark.createDataFrame([(1, json.dumps(body))], "report_id long, body string")
+    nodes = nested.shred(df, "report_id", "body", rest=True)
+    at = nested.subtype_table(nodes, "location", has=["+uri"]).first()
+    assert (at.record_id, at.run_no, at.result_no, at.location_no, at.uri, at.line, at.column) == (1, 0, 0, 0, "a", 4, None)
+    assert json.loads(at.rest) == {"id": 7, "physicalLocation": {"artifactLocation": {"index": 3}, "region": {"startColumn": "x"}}}
+    found = nested.subtype_table(nodes, "result", has=["locations:array"]).first()
+    assert (found.rule, found.message) == ("R", "m") and json.loads(found.rest) == {"extra": [1], "locations": {"1": "odd"}, "message": {"markdown": "*m*"}}
+    assert sorted(r.subtype for r in nested.routed(nodes).collect()) == ["file_location", "located_result", "unlocated_result"]
+    assert json.loads(nodes.where("kind = 'run'").first().rest) == {"columnKind": "u"}
+    assert dict(nested.subtype_table(nodes, "location").dtypes)["line"] == "bigint"
+
+
 def test_items(spark):
     bare = result(["x"])
     bodies = [
