@@ -40,6 +40,16 @@ SECRET_ALLOWED = (
     r"^(?i:a+|b+|c+|d+|e+|f+|g+|h+|i+|j+|k+|l+|m+|n+|o+|p+|q+|r+|s+|t+|u+|v+|w+|x+|y+|z+|\*+|\.+)$",
 )
 
+#: Words in a rule's id -> type, in order.
+RULE_KINDS = {
+    "tfn|tax-file": "TFN", "abn|business-number": "ABN", "medicare": "MEDICARE", "bsb|bank-state": "BSB", "email": "EMAIL", "phone": "PHONE",
+    "credit|card": "CREDIT_CARD", "passport": "PASSPORT", "driver|license": "DRIVER_LICENSE", "ip|address": "IP_ADDRESS",
+}
+RULE_TAG_RISKS = {"critical": "CRITICAL", "high-risk": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "low": "LOW"}
+#: Smaller rule sets: ids, with their keywords or without.
+FOUR_RULES = ("australian-tfn", "australian-abn", "australian-medicare", "australian-bsb")
+FIVE_RULES = (*FOUR_RULES, "australian-acn")
+
 RISK_WEIGHTS = {
     "TFN": 100, "MEDICARE": 90, "CREDIT_CARD": 90, "PASSPORT": 80, "ABN": 60, "ACN": 60, "BSB": 50, "ACCOUNT": 50, "NAME": 40,
     "ADDRESS": 40, "PHONE": 30, "EMAIL": 20, "IP_ADDRESS": 10,
@@ -129,6 +139,11 @@ EXCLUDED_FILES = (
     "**/dist/**", "**/out/**", "**/target/**", "**/.idea/**", "**/.vscode/**", "**/coverage/**", "**/*.min.js", "**/*.min.css",
     "**/*.bundle.*", "**/.DS_Store", "**/Thumbs.db", "**/*.tmp", "**/*.temp",
 )
+RULE_SETS = {
+    "all": SECRET_RULES,
+    "four": {r: SECRET_RULES[r] for r in FOUR_RULES},
+    "five": {r: (SECRET_RULES[r][0], (), SECRET_RULES[r][2]) for r in FIVE_RULES},
+}
 MAX_FILE_SIZE = 10 * 1024 * 1024
 
 _BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"

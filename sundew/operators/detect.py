@@ -228,21 +228,25 @@ def detect(
     min_confidence: float = 0.4,
     gates: bool = True,
     whole_path: bool = False,
+    max_bytes: int | None = patterns.MAX_FILE_SIZE,
+    checked: bool = True,
 ) -> DataFrame:
     """Findings of the pattern detector: one row per kept match.
 
     Columns: id, file, kind, value, start, line, col, context_before, context_after (50 characters), validated,
     confidence, context_modifier, risk_level, detector_name, and for the second look ``lines`` (five lines before to six
-    after) with ``at``, the finding's line within them.  Null texts, excluded paths and texts above the size limit give
-    no rows.  Ranges are reserved before the context gates, so a gated finding still blocks what it overlaps.
-    ``whole_path`` lets folder rules see the whole path instead of the base name.
+    after) with ``at``, the finding's line within them.  Null texts and excluded paths give no rows, nor do texts of more
+    than ``max_bytes`` (None: no limit), of which ``refused`` gives an error row each.  Ranges are reserved before the context gates, so a gated finding still blocks what it overlaps.
+    ``whole_path`` lets folder rules see the whole path instead of the base name.  Without ``checked`` no checksum is looked
+    at, so every finding has the confidence of a type without one.
 
     The ordered fold runs in one Arrow kernel (as nested array functions it took ten times as long); paths, gates,
     checks and risks are column expressions before and after it.
     """
     name = F.col("_path") if whole_path else base_name(F.col("_path"))
     rows = files.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(path_column), F.lit("")).alias("_path"), F.col(text_column).alias("_text"))
-    rows = rows.where(F.col("_text").isNotNull() & (F.octet_length("_text") <= patterns.MAX_FILE_SIZE) & ~excluded_path(name) & F.col("_text").rlike(MAY_MATCH))
+    size = F.octet_length("_text") <= max_bytes if max_bytes is not None else F.lit(True)
+    rows = rows.where(F.col("_text").isNotNull() & size & ~excluded_path(name) & F.col("_text").rlike(MAY_MATCH))
     schema = T.StructType(
         [
             T.StructField("id", T.LongType()), T.StructField("file", T.StringType()), *FOUND.fields, T.StructField("line", T.IntegerType()),
@@ -275,7 +279,14 @@ def detect(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return _judged(rows.mapInArrow(kernel, schema), min_confidence, gates, whole_path)
+    return _judged(rows.mapInArrow(kernel, schema), min_confidence, gates, whole_path, checked)
+
+
+def refused(files: DataFrame, id_column: str, path_column: str, text_column: str, max_bytes: int = patterns.MAX_FILE_SIZE) -> DataFrame:
+    """(id, file, size, error): the texts that ``detect`` refuses for their size."""
+    size = F.octet_length(text_column)
+    rows = files.where(size > max_bytes).select(F.col(id_column).cast("bigint").alias("id"), F.col(path_column).alias("file"), size.cast("bigint").alias("size"))
+    return rows.withColumn("error", F.format_string(f"file too large: %d bytes, at most {max_bytes}", "size"))
 
 
 def detect_declared(files: DataFrame, id_column: str, path_column: str, text_column: str, kinds: tuple[str, ...] = tuple(patterns.MATCHERS)) -> DataFrame:
@@ -286,7 +297,7 @@ def detect_declared(files: DataFrame, id_column: str, path_column: str, text_col
     return rows.select(F.col(id_column).alias("id"), found.alias("m")).select("id", "m.*")
 
 
-def _judged(found: DataFrame, min_confidence: float, gates: bool, whole_path: bool) -> DataFrame:
+def _judged(found: DataFrame, min_confidence: float, gates: bool, whole_path: bool, checked: bool = True) -> DataFrame:
     """Context gates, checks, risks and modifiers of raw matches."""
     name = F.col("file") if whole_path else base_name(F.col("file"))
     out = found.withColumn("context_modifier", path_modifier(name))
@@ -294,7 +305,7 @@ def _judged(found: DataFrame, min_confidence: float, gates: bool, whole_path: bo
     if gates:
         test = (F.col("context_modifier") > 0.1) & in_test_context(lines, at)
         out = out.where(~(test | in_comment_example(lines, at) | in_mock_context(lines, at)))
-    out = out.withColumn("_ok", checksums.valid(kind, value)).withColumn("confidence", checksums.confidence_of(F.col("_ok")))
+    out = out.withColumn("_ok", checksums.valid(kind, value) if checked else F.lit(None).cast("boolean")).withColumn("confidence", checksums.confidence_of(F.col("_ok")))
     if min_confidence > 0.5:  # no finding has less
         out = out.where(F.col("confidence") >= min_confidence)
     marks = {"validated": F.coalesce("_ok", F.lit(False)), "risk_level": type_risk(kind), "detector_name": F.lit("pattern-detector")}
@@ -304,16 +315,12 @@ def _judged(found: DataFrame, min_confidence: float, gates: bool, whole_path: bo
 # Rule detector ------------------------------------------------------------------------------------------------------
 
 
-def rule_kind(rule: Column) -> Column:
+def rule_kind(rule: Column, rules: dict = patterns.SECRET_RULES) -> Column:
     """Type of a rule: its own, else by a word in its id, else SECRET_ and the id."""
-    known = lookup(rule, {k: v[2] for k, v in patterns.SECRET_RULES.items()}, F.lit(None).cast("string"))
-    has = rule.rlike
-    other = (
-        F.when(has("tfn|tax-file"), "TFN").when(has("abn|business-number"), "ABN").when(has("medicare"), "MEDICARE")
-        .when(has("bsb|bank-state"), "BSB").when(has("email"), "EMAIL").when(has("phone"), "PHONE").when(has("credit|card"), "CREDIT_CARD")
-        .when(has("passport"), "PASSPORT").when(has("driver|license"), "DRIVER_LICENSE").when(has("ip|address"), "IP_ADDRESS")
-        .otherwise(F.concat(F.lit("SECRET_"), F.upper(rule)))
-    )
+    known = lookup(rule, {k: v[2] for k, v in rules.items() if v[2]}, F.lit(None).cast("string"))
+    other = F.concat(F.lit("SECRET_"), F.upper(rule))
+    for words, kind in reversed(patterns.RULE_KINDS.items()):
+        other = F.when(rule.rlike(words), kind).otherwise(other)
     return F.coalesce(known, other)
 
 
@@ -322,37 +329,54 @@ def rule_risk(rule: Column, tags: Column | None = None) -> Column:
     plain = F.when(rule.rlike("key|token"), "HIGH").otherwise("MEDIUM")
     if tags is None:
         return plain
-    table = {"critical": "CRITICAL", "high-risk": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "low": "LOW"}
+    table = patterns.RULE_TAG_RISKS
     named = F.filter(F.transform(tags, F.lower), lambda t: t.isin(*table))
     return F.when(F.size(named) > 0, lookup(F.get(named, F.lit(0)), table, plain)).otherwise(plain)
 
 
-def rule_matches(text: Column, rule: str, rules: dict = patterns.SECRET_RULES) -> Column:
-    """Values of one rule: nothing unless a keyword occurs, and none that the allowlist covers."""
-    pattern, keywords, _ = rules[rule]
-    found = F.regexp_extract_all(text, F.lit(patterns.java(pattern)), F.lit(0))
-    allowed = "|".join(f"(?:{patterns.java(p)})" for p in patterns.SECRET_ALLOWED)
-    kept = F.filter(found, lambda v: ~v.rlike(allowed))
-    return F.when(F.lower(text).rlike(patterns.any_of(keywords)), kept).otherwise(F.array().cast("array<string>"))
+def rule_matches(text: Column, rule: str, rules: dict = patterns.SECRET_RULES, allowed: tuple[str, ...] = patterns.SECRET_ALLOWED) -> Column:
+    """Matches of one rule with their offsets: nothing unless a keyword occurs (a rule without keywords always looks), and
+    none that the allowlist covers."""
+    pattern, keywords = rules[rule][:2]
+    found = spans.spans(text, patterns.java(pattern))
+    if allowed:
+        any_allowed = "|".join(f"(?:{patterns.java(p)})" for p in allowed)
+        found = F.filter(found, lambda m: ~m["value"].rlike(any_allowed))
+    return F.when(F.lower(text).rlike(patterns.any_of(keywords)), found).otherwise(F.array().cast(spans.SPAN)) if keywords else found
 
 
-def detect_rules(files: DataFrame, id_column: str, path_column: str, text_column: str, rules: dict = patterns.SECRET_RULES) -> DataFrame:
-    """Findings of the rule detector: (id, file, rule, kind, value, risk_level, confidence, context_modifier, detector_name)."""
+def detect_rules(
+    files: DataFrame, id_column: str, path_column: str, text_column: str, rules: dict = patterns.SECRET_RULES, allowed: tuple[str, ...] = patterns.SECRET_ALLOWED
+) -> DataFrame:
+    """Findings of the rule detector: (id, file, rule, kind, value, start, line, col, context, risk_level, confidence,
+    context_modifier, detector_name); ``context`` is the line.
+
+    ``rules`` maps an id to (pattern, keywords, type or None[, tags]).  Each occurrence has its own position; null texts
+    give no rows.  Texts stay where they are: a finding's position is computed beside its text, without a join.
+    """
     text = F.col(text_column)
 
     def named(rule: str) -> Column:
-        return F.transform(rule_matches(text, rule, rules), lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
+        return F.transform(rule_matches(text, rule, rules, allowed), lambda m: F.struct(F.lit(rule).alias("rule"), m["value"].alias("value"), m["start"].alias("start")))
 
-    parts = [named(r) for r in rules]
-    found = files.select(F.col(id_column).alias("id"), F.col(path_column).alias("file"), F.explode(F.flatten(F.array(*parts))).alias("m"))
-    rule = F.col("m.rule")
+    found = files.where(text.isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(path_column).alias("file"), text.alias("_text"), F.explode(F.flatten(F.array(*[named(r) for r in rules]))).alias("m")
+    )
+    rule, start = F.col("m.rule"), F.col("m.start")
+    tags = {k: v[3] for k, v in rules.items() if len(v) > 3 and v[3]}
+    tagged = F.coalesce(*[F.when(rule == k, F.array(*[F.lit(t) for t in v])) for k, v in tags.items()]) if tags else None
+    line = F.concat(F.substring_index(F.substr("_text", F.lit(1), start), "\n", -1), F.substring_index(F.substr(F.col("_text"), start + 1), "\n", 1))
     return found.select(
         "id",
         "file",
         rule.alias("rule"),
-        rule_kind(rule).alias("kind"),
+        rule_kind(rule, rules).alias("kind"),
         F.col("m.value").alias("value"),
-        rule_risk(rule).alias("risk_level"),
+        start.alias("start"),
+        spans.line_of(F.col("_text"), start).cast("int").alias("line"),
+        spans.column_of(F.col("_text"), start).cast("int").alias("col"),
+        line.alias("context"),
+        rule_risk(rule, tagged).alias("risk_level"),
         F.lit(0.9).alias("confidence"),
         rule_path_modifier(F.coalesce("file", F.lit(""))).alias("context_modifier"),
         F.lit("gitleaks-detector").alias("detector_name"),

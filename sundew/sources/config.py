@@ -8,10 +8,12 @@ import os
 import re
 from pathlib import Path
 
+from sundew.functions import patterns
+
 DEFAULTS: dict[str, dict] = {
     "scanner": {"max_file_size": 10 * 1024 * 1024, "workers": 0, "proximity_distance": 10, "min_confidence": 0.4},
     "discovery": {"include": [], "exclude": [], "include_hidden": True, "exclude_binary": True},
-    "detectors": {"pattern": True, "rules": True, "context_validation": True, "checksums": True},
+    "detectors": {"pattern": True, "rules": True, "context_validation": True, "checksums": True, "proximity": False, "rule_set": "all", "rule_file": ""},
     "report": {"format": "json", "masked": True, "context": False, "metadata": False},
 }
 FORMATS = ("json", "csv", "sarif", "html")
@@ -100,6 +102,8 @@ def problems(settings: dict) -> list[str]:
         out.append("scanner.workers must not be negative")
     if not 0 <= s["scanner"]["min_confidence"] <= 1:
         out.append("scanner.min_confidence must lie between 0 and 1")
+    if s["detectors"]["rule_set"] not in patterns.RULE_SETS:
+        out.append(f"detectors.rule_set must be one of {', '.join(patterns.RULE_SETS)}")
     if s["report"]["format"] not in FORMATS:
         out.append(f"report.format must be one of {', '.join(FORMATS)}")
     return out
@@ -119,9 +123,32 @@ def save(settings: dict, path: str) -> None:
     Path(path).write_text(render(settings) + "\n")
 
 
-def load_rules(path: str) -> dict[str, tuple[str, tuple[str, ...], str | None]]:
-    """Rules of a TOML file, as ``operators.detect`` takes them: id -> (pattern, keywords, type or None)."""
+def load_rules(path: str) -> dict[str, tuple]:
+    """Rules of a TOML file, as ``operators.detect`` takes them: id -> (pattern, keywords, type or None[, tags])."""
+    return rule_file(path)[0]
+
+
+def rule_file(path: str) -> tuple[dict[str, tuple], tuple[str, ...]]:
+    """(rules, allowed patterns) of a TOML file: the file's allowlists, its rules' and, by ``stopwords``, plain words.
+
+    ``[extend] useDefault = true`` puts the file's rules on top of the built-in ones.  A bad pattern raises ValueError.
+    """
     import tomllib
 
     data = tomllib.loads(Path(path).read_text())
-    return {r["id"]: (r["regex"], tuple(k.lower() for k in r.get("keywords", ())), r.get("type")) for r in data.get("rules", ())}
+    extends = data.get("extend", {}).get("useDefault", False)
+    rules: dict[str, tuple] = dict(patterns.SECRET_RULES) if extends else {}
+    allowed: list[str] = list(patterns.SECRET_ALLOWED) if extends else []
+    lists = [data.get("allowlist", {}), *data.get("allowlists", [])]
+    for r in data.get("rules", ()):
+        tags = tuple(r.get("tags", ()))
+        try:
+            re.compile(patterns.python(r["regex"]))
+        except re.error as e:
+            raise ValueError(f"rule {r['id']}: {e}") from e
+        rules[r["id"]] = (r["regex"], tuple(k.lower() for k in r.get("keywords", ())), r.get("type"), *([tags] if tags else []))
+        lists += [r.get("allowlist", {}), *r.get("allowlists", [])]
+    for one in lists:
+        allowed += one.get("regexes", [])
+        allowed += [f"(?i:{patterns.any_of((w,))})" for w in one.get("stopwords", [])]
+    return rules, tuple(allowed)

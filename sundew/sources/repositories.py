@@ -88,10 +88,10 @@ def read_tree(spark: SparkSession, root: str, max_size: int | None = None, dotte
     )
 
 
-def discover(spark: SparkSession, root: str, **rules: object) -> DataFrame:
-    """Text files under a folder that the discovery rules include, decoded as UTF-8."""
+def discover(spark: SparkSession, root: str, exclude_binary: bool = True, **rules: object) -> DataFrame:
+    """Files under a folder that the discovery rules include, binary ones too if wanted, decoded as UTF-8."""
     files = read_tree(spark, root)
-    kept = files.where(discovery.included(F.col("path"), F.col("size"), **rules) & ~F.col("is_binary"))
+    kept = files.where(discovery.included(F.col("path"), F.col("size"), **rules) & (~F.col("is_binary") if exclude_binary else F.lit(True)))
     return kept.withColumn("text", F.decode("content", "UTF-8")).drop("content")
 
 
