@@ -173,6 +173,46 @@ def context_type(text: Column) -> Column:
     return out
 
 
+# Words that tell of each kind of context.
+SQL_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "SET", "INTO", "VALUES")
+SQL_NAMES = ("ssn", "tfn", "medicare")
+LOG_LEVELS = ("INFO", "DEBUG", "ERROR", "WARN", "TRACE", "FATAL")
+DECLARATIONS = ("var", "let", "const")
+FORM_WORDS = ("input", "form", "field", "name", "value", "type")
+
+
+def keywords_of_type(text: Column, kind: str) -> Column:
+    """Sorted set of the keywords that a text gives as a context of one kind: SQL words and telling column names, log levels,
+    keys of settings, declarations and the declared names, words of documentation, words of forms.  Other kinds give none;
+    null text gives null."""
+    words = F.filter(F.split(text, r"[ \t\n\f\r]+"), lambda w: w != "")
+    if kind == "database":
+        sql = F.filter(F.transform(words, lambda w: F.upper(F.btrim(w, F.lit("(),'\"")))), lambda w: w.isin(*SQL_WORDS))
+        named = F.filter(F.transform(words, F.lower), lambda w: reduce(lambda a, b: a | b, [F.contains(w, F.lit(n)) for n in SQL_NAMES]))
+        found = F.concat(sql, named)
+    elif kind == "log":
+        found = F.filter(F.transform(words, lambda w: F.upper(F.btrim(w, F.lit(":")))), lambda w: w.isin(*LOG_LEVELS))
+    elif kind == "config":
+        found = F.filter(F.transform(F.filter(words, lambda w: F.contains(w, F.lit("="))), lambda w: F.substring_index(w, "=", 1)), lambda w: w != "")
+    elif kind == "variable":
+
+        def declared(ws: Column) -> Column:
+            is_word = lambda w: F.lower(w).isin(*DECLARATIONS)
+            after = F.transform(F.filter(F.arrays_zip(ws.alias("w"), F.slice(ws, 2, F.size(ws)).alias("n")), lambda x: is_word(x["w"])), lambda x: F.btrim(F.coalesce(x["n"], F.lit("")), F.lit("=")))
+            return F.concat(F.transform(F.filter(ws, is_word), F.lower), F.filter(after, lambda w: w != ""))
+
+        found = let(words, declared)
+    elif kind == "documentation":
+        found = F.filter(F.transform(words, lambda w: F.btrim(w, F.lit("/*-#"))), lambda w: F.octet_length(w) > 2)
+    elif kind == "form":
+        low = F.lower(text)
+        braces = F.contains(text, F.lit("{")) & F.contains(text, F.lit("}"))
+        found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in FORM_WORDS], *[F.when(braces, F.lit(w)) for w in ("json", "structured")]))
+    else:
+        found = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(found))
+
+
 def relevant_keywords(text: Column) -> Column:
     """Sorted set of labels, test words and the groups whose words occur."""
     low = F.lower(text)

@@ -158,6 +158,49 @@ def adjustments(environment: Column, co_occurrence: Column, weight: Column, vali
     )
 
 
+#: Component -> (its factor's column, its weight's name or None for a multiplier).
+COMPONENTS = {
+    "proximity": ("proximity_factor", "proximity"), "ml_validation": ("ml_factor", "ml"), "algorithmic_validation": ("validation_factor", "validation"),
+    "environment": ("environment_factor", None), "co_occurrence": ("co_occurrence_factor", None), "pi_type_weight": ("type_weight", None),
+}
+
+
+def breakdown() -> Column:
+    """struct<final_score, components array<struct<name, score, weight>>, weights map, adjustments> of a scored finding."""
+    weight = {n: 1.0 if w is None else FACTOR_WEIGHTS[w] for n, (_, w) in COMPONENTS.items()}
+    parts = [F.struct(F.lit(n).alias("name"), F.col(c).alias("score"), F.lit(weight[n]).alias("weight")) for n, (c, _) in COMPONENTS.items()]
+    weights = F.map_from_arrays(F.array(*[F.lit(n) for n in weight]), F.array(*[F.lit(w) for w in weight.values()]))
+    return F.struct(F.col("score").alias("final_score"), F.array(*parts).alias("components"), weights.alias("weights"), F.col("adjustments"))
+
+
+def audit_trail(at: Column) -> Column:
+    """array<struct<component, timestamp, score, details map>> of a scored finding: its five analyses and the aggregation,
+    a millisecond apart from ``at`` on."""
+    text = lambda c, digits: F.format_string(f"%.{digits}f", c)
+
+    def weighed(column: str, weight: str) -> list[Column]:
+        w = FACTOR_WEIGHTS[weight]
+        return [F.lit("weight"), F.lit(f"{w:.2f}"), F.lit("impact"), text(F.col(column) * w, 3)]
+
+    def multiplied(column: str) -> list[Column]:
+        x = F.col(column)
+        return [F.lit("multiplier"), text(x, 3), F.lit("impact"), F.when(x < 1, "reduced").when(x > 1, "increased").otherwise("neutral")]
+
+    entries = [
+        ("proximity", "proximity_factor", weighed("proximity_factor", "proximity")),
+        ("ml_validation", "ml_factor", weighed("ml_factor", "ml")),
+        ("algorithmic_validation", "validation_factor", weighed("validation_factor", "validation")),
+        ("environment_analysis", "environment_factor", multiplied("environment_factor")),
+        ("co_occurrence_analysis", "co_occurrence_factor", multiplied("co_occurrence_factor")),
+        ("aggregation", "score", [F.lit("final_score"), text(F.col("score"), 6), F.lit("risk_level"), F.coalesce("level", F.lit(""))]),
+    ]
+    made = []
+    for i, (name, column, details) in enumerate(entries):
+        when = F.timestamp_micros(F.unix_micros(at) + i * 1000)
+        made.append(F.struct(F.lit(name).alias("component"), when.alias("timestamp"), F.col(column).cast("double").alias("score"), F.create_map(*details).alias("details")))
+    return F.array(*made)
+
+
 def input_error(kind: Column, value: Column) -> Column:
     """Why a finding can't be scored, or null."""
     return (
