@@ -80,9 +80,13 @@ for _i, _kind in enumerate(patterns.MATCHERS):
     query(f"match_{_kind.lower()}", match_sql(_kind))(_match_query(_kind))
 
 
-@query("match_document_emails", match_sql("EMAIL", "(SELECT doc_id, text FROM documents)", "doc_id"))
-def match_document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(detect.matches(F.col("text"), "EMAIL")).alias("value"))
+_NESTED = "(SELECT result_id, f.match_text AS text FROM (SELECT result_id, unnest(findings) AS f FROM scan_results))"
+
+
+@query("match_nested_emails", match_sql("EMAIL", _NESTED, "result_id"))
+def match_nested_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "scan_results").select("result_id", F.explode("findings.match_text").alias("text"))
+    return t.select("result_id", F.explode(detect.matches(F.col("text"), "EMAIL")).alias("value"))
 
 
 @query("match_document_names", match_sql("NAME", "(SELECT doc_id, text FROM documents)", "doc_id"))
@@ -325,10 +329,16 @@ def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("discovery_stats")
+@query(
+    "discovery_stats",
+    r"""WITH e AS (SELECT lower(regexp_extract(rel_path, '(\.[^./]*)$', 1)) AS ext, count(*) AS n FROM files WHERE rel_path IS NOT NULL GROUP BY 1)
+        SELECT count(*) AS total_files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_size, count(*) FILTER (WHERE is_binary) AS binary_files, count(*) FILTER (WHERE is_hidden) AS hidden_files,
+               (SELECT string_agg(ext || '=' || n, ',' ORDER BY ext || '=' || n) FROM e WHERE ext <> '') AS extensions FROM files WHERE rel_path IS NOT NULL""",
+)
 def discovery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "files").where(F.col("rel_path").isNotNull())
-    return discovery.discovery_stats(t, "rel_path", "size_bytes")
+    told = F.array_sort(F.transform(F.map_entries("extensions"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return discovery.discovery_stats(t, "rel_path", "size_bytes").withColumn("extensions", F.array_join(told, ","))
 
 
 @query(
@@ -340,19 +350,30 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.text_stats(t, "file_text").select("file_id", "n_bytes", "n_lines")
 
 
+_GITHUB = "regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+', 'https://github.com')"
+_ADDRESSES = f"""(SELECT clone_id, url FROM repositories WHERE url IS NOT NULL UNION ALL SELECT clone_id, {_GITHUB} FROM repositories WHERE url IS NOT NULL
+    UNION ALL SELECT clone_id, regexp_replace({_GITHUB}, '^https://github.com/', 'git@github.com:') FROM repositories WHERE url IS NOT NULL)"""
+_FORMS = [("web", repositories.WEB), ("ssh", repositories.SSH), ("short", repositories.SHORT)]
+
+
 @query(
     "repository_addresses",
-    rf"""SELECT clone_id, url, CASE WHEN regexp_matches(b, {quoted(repositories.SHORT)}) THEN regexp_extract(b, {quoted(repositories.SHORT)}, 1) END AS owner,
-        CASE WHEN regexp_matches(b, {quoted(repositories.SHORT)}) THEN regexp_extract(b, {quoted(repositories.SHORT)}, 2) END AS name,
-        (regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') AND NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://github\.com(?:/[^/]*)?/*$')) AS valid,
+    rf"""SELECT clone_id, url, CASE {' '.join(f"WHEN regexp_matches(b, {quoted(p)}) THEN regexp_extract(b, {quoted(p)}, 1)" for _, p in _FORMS)} END AS owner,
+        CASE {' '.join(f"WHEN regexp_matches(b, {quoted(p)}) THEN regexp_extract(b, {quoted(p)}, 2)" for _, p in _FORMS)} END AS name,
+        (regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') AND (NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://github\.com(?:[/?#]|$)')
+            OR regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://github\.com/+[^/]+/'))) AS valid,
         (starts_with(url, 'https://') AND length(url) > 8) AS is_https
-        FROM (SELECT clone_id, url, regexp_replace(url, '\.git$', '') AS b FROM repositories WHERE url IS NOT NULL AND NOT contains(url, 'github.com'))""",
+        FROM (SELECT clone_id, url, regexp_replace(url, '\.git$', '') AS b FROM {_ADDRESSES})""",
 )
 def repository_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses as stored, and the same with their host replaced by the one whose forms have rules of their own."""
+    t = table(spark, sf_dir, "repositories").where(F.col("url").isNotNull()).select("clone_id", "url")
+    github = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/]+", "https://github.com")
+    web = t.withColumn("url", github)
+    every = t.unionByName(web).unionByName(web.withColumn("url", F.regexp_replace("url", "^https://github.com/", "git@github.com:")))
     u = F.col("url")
-    t = table(spark, sf_dir, "repositories").where(u.isNotNull())
     who = repositories.owner_and_name(u)
-    return t.select(
+    return every.select(
         "clone_id", "url", who["owner"].alias("owner"), who["name"].alias("name"), repositories.valid_url(u).alias("valid"), repositories.https_url(u).alias("is_https")
     )
 
@@ -687,7 +708,14 @@ def sarif_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("fingerprints")
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', coalesce(file_path, ''), k, CAST(line_no AS VARCHAR), match_text)))"
+
+
+@query(
+    "fingerprints",
+    f"""SELECT finding_id, lower(hex(encode(substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || lower(hex((('0x' || substr(d, 17, 2))::INT & 63) | 128)) || substr(d, 19, 2) || '-' || substr(d, 21, 12)))) AS fingerprint
+        FROM (SELECT finding_id, {_SHA} AS d FROM (SELECT *, {_KIND} AS k FROM findings))""",
+)
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = reported(spark, sf_dir)
     return t.select("finding_id", reports.fingerprint(F.col("file"), F.col("kind"), F.col("line"), F.col("value")).alias("fingerprint"))

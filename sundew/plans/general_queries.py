@@ -64,13 +64,19 @@ def p2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed table of SARIF results that have a location."""
     nodes = nested.shred(table(spark, sf_dir, "sarif_reports"), "report_id", "body")
-    return nested.subtype_table(nodes, "result", lacks=nested.SARIF_SUBTYPES["unlocated_result"][2]).drop("variant", "rest")
+    return nested.subtype_table(nested.routed(nodes).where(F.col("subtype") == "located_result"), "result").drop("variant", "rest")
 
 
 def p2_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed table of SARIF locations in a file, with what the report says besides as JSON in ``rest``."""
+    """The typed table of SARIF locations in a file."""
+    nodes = nested.shred(table(spark, sf_dir, "sarif_reports"), "report_id", "body")
+    return nested.subtype_table(nodes, "location", has=["+uri"]).drop("variant", "rest")
+
+
+def p2_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SARIF reports say beside the typed tables, as JSON per node."""
     nodes = nested.shred(table(spark, sf_dir, "sarif_reports"), "report_id", "body", rest=True)
-    return nested.subtype_table(nodes, "location", has=["+uri"])
+    return nodes.where(F.col("rest").isNotNull()).select("record_id", "kind", "positions", "rest")
 
 
 QUERIES = {
@@ -83,9 +89,65 @@ QUERIES = {
     "p2_variants": p2_variants,
     "p2_results": p2_results,
     "p2_locations": p2_locations,
+    "p2_rest": p2_rest,
 }
 
+#: SARIF bodies unwrapped and shredded: reports, then runs, results and locations with their positions from 0.
+_STRIP = r"trim(ltrim(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), chr(65279)), ' ' || chr(9) || chr(10) || chr(13))"
+_FENCE = "CASE WHEN starts_with({0}, '```') AND ends_with({0}, '```') AND length({0}) > 6 THEN CASE WHEN regexp_matches(substr({0}, 4, 1), '[\\[{{\"]') THEN substr({0}, 4, length({0}) - 6) ELSE regexp_replace(substr({0}, 4, length({0}) - 6), '^[^\\n]*\\n', '') END ELSE {0} END"
+
+
+def _unwrap_sql(depth: int = 4) -> str:
+    """Common table expressions w0 to w<depth>: each takes one wrapping off; ``o`` is the object once it is reached."""
+    parts = ["w0 AS (SELECT report_id, body AS t, CAST(NULL AS JSON) AS o FROM sarif_reports WHERE body IS NOT NULL)"]
+    for i in range(depth):
+        parts.append(f"""s{i} AS (SELECT report_id, o, {_STRIP.format('t')} AS t FROM w{i}), f{i} AS (SELECT report_id, o, {_FENCE.format('t')} AS t FROM s{i}),
+            j{i} AS (SELECT report_id, o, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM f{i}),
+            k{i} AS (SELECT report_id, o, CASE WHEN json_type(j) = 'ARRAY' AND json_array_length(j) = 1 THEN json_extract(j, '$[0]') ELSE j END AS j FROM j{i}),
+            w{i + 1} AS (SELECT report_id, CASE WHEN o IS NULL AND json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$') END AS t, coalesce(o, CASE WHEN json_type(j) = 'OBJECT' THEN j END) AS o FROM k{i})""")
+    return ", ".join(parts)
+
+
+def _children_sql(source: str, keys: str, node: str, field: str, number: str, child: str) -> str:
+    """Objects under a field of a node with their positions; a bare object is its only element."""
+    items = f"CASE json_type(json_extract({node}, '$.{field}')) WHEN 'ARRAY' THEN CAST(json_extract({node}, '$.{field}') AS JSON[]) WHEN 'OBJECT' THEN [json_extract({node}, '$.{field}')] ELSE [] END"
+    return f"""(SELECT * FROM (SELECT {keys}, unnest(range(0, len(l))) AS {number}, unnest(l) AS {child} FROM (SELECT {keys}, {items} AS l FROM {source})) WHERE json_type({child}) = 'OBJECT')"""
+
+
+SHREDDED = f"""WITH {_unwrap_sql()}, reports AS (SELECT report_id, o FROM w4 WHERE o IS NOT NULL),
+    runs AS {_children_sql('reports', 'report_id', 'o', 'runs', 'run_no', 'run')},
+    results AS {_children_sql('runs', 'report_id, run_no', 'run', 'results', 'result_no', 'result')},
+    locations AS {_children_sql('results', 'report_id, run_no, result_no', 'result', 'locations', 'location_no', 'location')}
+"""
+
+
+def _path_sql(node: str, *path: str) -> str:
+    """Text at a path of objects; other types as their JSON."""
+    at = f"json_extract({node}, '$.{'.'.join(path)}')"
+    return f"CASE WHEN json_type({at}) = 'NULL' THEN NULL WHEN json_type({at}) = 'VARCHAR' THEN json_extract_string({at}, '$') ELSE CAST({at} AS VARCHAR) END"
+
+
+def _number_sql(node: str, *path: str) -> str:
+    at = f"json_extract({node}, '$.{'.'.join(path)}')"
+    return f"CASE WHEN json_type({at}) IN ('UBIGINT', 'BIGINT') THEN CAST({at} AS BIGINT) END"
+
+
+_URI = _path_sql("location", "physicalLocation", "artifactLocation", "uri")
+
+
 ORACLE = {
+    "p2_found": SHREDDED
+    + f"""SELECT 'result' AS record_kind, report_id AS record_id, CAST(run_no AS INT) AS parent_no, CAST(result_no AS INT) AS child_no, CAST(location_no AS INT) AS leaf_no, coalesce({_URI}, '') AS item_key FROM locations
+        UNION ALL SELECT 'result', report_id, run_no, result_no, -1, '' FROM results ANTI JOIN locations USING (report_id, run_no, result_no)
+        UNION ALL SELECT 'finding', result_id, -1, i - 1, -1, coalesce(findings[i].pi_type, '') FROM (SELECT result_id, findings, unnest(range(1, len(findings) + 1)) AS i FROM scan_results) WHERE findings[i] IS NOT NULL
+        UNION ALL SELECT 'stat', result_id, -1, -1, -1, unnest(map_keys(stats.findings_by_type)) FROM scan_results""",
+    "p2_results": SHREDDED
+    + f"""SELECT report_id AS record_id, CAST(run_no AS INT) AS run_no, CAST(result_no AS INT) AS result_no, {_path_sql('result', 'ruleId')} AS rule, {_path_sql('result', 'level')} AS level,
+        {_path_sql('result', 'message', 'text')} AS message FROM results SEMI JOIN locations USING (report_id, run_no, result_no)""",
+    "p2_locations": SHREDDED
+    + f"""SELECT report_id AS record_id, CAST(run_no AS INT) AS run_no, CAST(result_no AS INT) AS result_no, CAST(location_no AS INT) AS location_no, {_URI} AS uri,
+        {_number_sql('location', 'physicalLocation', 'region', 'startLine')} AS line, {_number_sql('location', 'physicalLocation', 'region', 'startColumn')} AS "column",
+        {_path_sql('location', 'logicalLocation', 'name')} AS logical FROM locations WHERE {_URI} IS NOT NULL""",
     "p1_found": """
         WITH t AS (SELECT count(*) AS total FROM findings)
         SELECT 'file_path' AS key_kind, file_path AS key_value FROM findings, t WHERE file_path IS NOT NULL
