@@ -18,65 +18,31 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sundew.functions import checksums, patterns, spans
 from sundew.functions.let import has_any
 from sundew.functions.masking import lookup
+from sundew.operators import matchers
 
 SPAN = "array<struct<kind:string,value:string,start:int,stop:int>>"
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
-
-
-def person_name(value: Column) -> Column:
-    """Could the words name a person, by the fixed lists of code and product terms?"""
-    low = F.lower(value)
-    return (
-        ~low.rlike(patterns.any_of(patterns.NOT_NAMES))
-        & ~low.rlike(patterns.any_of(patterns.NOT_NAME_PARTS))
-        & value.rlike("^[A-Za-z ]+$")
-        & ~value.rlike("(?:^| )[A-Za-z]{1,2}(?: |$)")
-        & value.rlike("[a-z]")
-    )
-
-
 def accepted(kind: str, value: Column) -> Column:
     """The check that a matcher makes of its match before it counts."""
-    bare = F.regexp_replace(value, r"[\t\n\f\r \-]", "")
-    no_space = F.replace(value, F.lit(" "), F.lit(""))
-    if kind == "ABN":
-        return (F.length(no_space) == 11) & ~no_space.startswith("614")
-    if kind == "MEDICARE":
-        return F.length(F.regexp_replace(value, r"[\t\n\f\r /\-]", "")) >= 10
-    if kind == "TFN":
-        return (F.length(bare) == 9) & ~bare.startswith("0")
-    if kind == "BSB":
-        return (F.length(bare) == 6) & F.substring(bare, 1, 1).between("0", "7")
-    if kind == "ACN":
-        return F.length(no_space) == 9
-    if kind == "PHONE":
-        d = digits(value)
-        return (F.length(d) == 10) | ((F.length(d) == 11) & d.startswith("61"))
-    if kind == "DRIVER_LICENSE":
-        d = digits(value)
-        return ~value.startswith("0") & ~(d.startswith("1300") | d.startswith("1800") | d.startswith("04"))
-    if kind == "NAME":
-        return person_name(value)
-    return F.lit(True)
+    return matchers.TABLE[kind].check.column(value)
 
 
 def value_of(kind: str, match: Column) -> Column:
     """The value within a match: the number of a company, else the match."""
-    return F.regexp_extract(match, patterns.java(patterns.ACN_DIGITS), 0) if kind == "ACN" else match
+    inner = matchers.TABLE[kind].inner
+    return F.regexp_extract(match, patterns.java(inner), 0) if inner else match
 
 
 def matches(text: Column, kind: str) -> Column:
     """Accepted values of one type, in order, without positions (cheaper than ``candidates``)."""
-    found = F.regexp_extract_all(text, F.lit(patterns.java(patterns.MATCHERS[kind])), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(patterns.java(matchers.TABLE[kind].pattern)), F.lit(0))
     return F.filter(F.transform(found, lambda m: value_of(kind, m)), lambda v: accepted(kind, v))
 
 
 def candidates(text: Column, kind: str) -> Column:
     """Accepted matches of one type with their offsets."""
-    found = spans.spans(text, patterns.java(patterns.MATCHERS[kind]))
+    found = spans.spans(text, patterns.java(matchers.TABLE[kind].pattern))
     typed = F.transform(
         found,
         lambda m: F.struct(F.lit(kind).alias("kind"), value_of(kind, m["value"]).alias("value"), m["start"].alias("start"), m["stop"].alias("stop")),
@@ -142,8 +108,8 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-#: A text without three digits, an @, an area code, a phone number in small groups or two capitalised words can't match anything.
-MAY_MATCH = r"[0-9]{3}|@|\([0-9]{2}\)|0[2-9](?:[\t\n\f\r .-]?[0-9]){8}|[A-Z][a-z]{2,}[\t\n\f\r ]+[A-Z][a-z]"
+#: Texts without this can't match any of the built-in kinds.
+MAY_MATCH = matchers.may_match(tuple(matchers.TABLE))
 FOUND = T.StructType(
     [
         T.StructField("kind", T.StringType()),
@@ -156,36 +122,16 @@ FOUND = T.StructType(
 
 def accepted_value(kind: str, value: str) -> bool:
     """As ``accepted``, for one string."""
-    bare = re.sub(r"[\t\n\f\r \-]", "", value)
-    if kind == "ABN":
-        clean = value.replace(" ", "")
-        return len(clean) == 11 and not clean.startswith("614")
-    if kind == "MEDICARE":
-        return len(bare.replace("/", "")) >= 10
-    if kind == "TFN":
-        return len(bare) == 9 and bare[0] != "0"
-    if kind == "BSB":
-        return len(bare) == 6 and "0" <= bare[0] <= "7"
-    if kind == "ACN":
-        return len(value.replace(" ", "")) == 9
-    if kind == "PHONE":
-        d = re.sub(r"[^0-9]", "", value)
-        return len(d) == 10 or (len(d) == 11 and d.startswith("61"))
-    if kind == "DRIVER_LICENSE":
-        d = re.sub(r"[^0-9]", "", value)
-        return value[0] != "0" and not d.startswith(("1300", "1800", "04"))
-    if kind == "NAME":
-        low = value.lower()
-        return (
-            re.fullmatch(r"[A-Za-z ]+", value) is not None
-            and re.search(r"(?:^| )[A-Za-z]{1,2}(?: |$)", value) is None
-            and not any(p in low for p in patterns.NOT_NAME_PARTS)
-            and not any(p in low for p in patterns.NOT_NAMES)
-        )
-    return True
+    return matchers.TABLE[kind].check.holds(value)
+
+
+def compiled_matchers(table: list[tuple[str, matchers.Matcher]]) -> list[tuple[str, re.Pattern, re.Pattern | None, matchers.Check]]:
+    """(kind, pattern, pattern of the value within a match, check) of each matcher."""
+    make = lambda p: re.compile(patterns.python(p), re.ASCII) if p else None
+    return [(k, make(m.pattern), make(m.inner), m.check) for k, m in table]
 
 
-def found_in(text: str, kinds: tuple[str, ...], compiled: dict[str, re.Pattern]) -> list[tuple[str, str, int, int]]:
+def found_in(text: str, compiled: list[tuple[str, re.Pattern, re.Pattern | None, matchers.Check]]) -> list[tuple[str, str, int, int]]:
     """Kept matches of one text in matcher order: (kind, value, start, stop), overlaps dropped greedily.
 
     Accepted ranges are looked up by position in sorted lists of starts and stops, so long texts stay near-linear.
@@ -194,12 +140,10 @@ def found_in(text: str, kinds: tuple[str, ...], compiled: dict[str, re.Pattern])
     starts: list[int] = []
     stops: list[int] = []
     reach = 0
-    for kind in kinds:
-        for m in compiled[kind].finditer(text):
-            value = m[0]
-            if kind == "ACN":
-                value = compiled["ACN digits"].search(value)[0]
-            if not accepted_value(kind, value):
+    for kind, pattern, inner, check in compiled:
+        for m in pattern.finditer(text):
+            value = inner.search(m[0])[0] if inner else m[0]
+            if not check.holds(value):
                 continue
             a, b = m.span()
             # a clash needs a range that starts at or before a (or before b) and ends after a (or at or after b)
@@ -224,7 +168,7 @@ def detect(
     id_column: str,
     path_column: str,
     text_column: str,
-    kinds: tuple[str, ...] = tuple(patterns.MATCHERS),
+    kinds: tuple[str, ...] | None = None,
     min_confidence: float = 0.4,
     gates: bool = True,
     whole_path: bool = False,
@@ -243,10 +187,12 @@ def detect(
     The ordered fold runs in one Arrow kernel (as nested array functions it took ten times as long); paths, gates,
     checks and risks are column expressions before and after it.
     """
+    kinds = tuple(matchers.TABLE) if kinds is None else kinds
+    table = [(k, matchers.TABLE[k]) for k in kinds]
     name = F.col("_path") if whole_path else base_name(F.col("_path"))
     rows = files.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(path_column), F.lit("")).alias("_path"), F.col(text_column).alias("_text"))
     size = F.octet_length("_text") <= max_bytes if max_bytes is not None else F.lit(True)
-    rows = rows.where(F.col("_text").isNotNull() & size & ~excluded_path(name) & F.col("_text").rlike(MAY_MATCH))
+    rows = rows.where(F.col("_text").isNotNull() & size & ~excluded_path(name) & F.col("_text").rlike(matchers.may_match(kinds)))
     schema = T.StructType(
         [
             T.StructField("id", T.LongType()), T.StructField("file", T.StringType()), *FOUND.fields, T.StructField("line", T.IntegerType()),
@@ -257,12 +203,11 @@ def detect(
     arrow = to_arrow_schema(schema)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {k: re.compile(patterns.python(p), re.ASCII) for k, p in patterns.MATCHERS.items()}
-        compiled["ACN digits"] = re.compile(patterns.python(patterns.ACN_DIGITS), re.ASCII)
+        compiled = compiled_matchers(table)
         for batch in batches:
             out: list[tuple] = []
             for rid, path, text in zip(*[c.to_pylist() for c in batch.columns]):
-                kept = found_in(text, kinds, compiled)
+                kept = found_in(text, compiled)
                 if not kept:
                     continue
                 lines = text.split("\n")
@@ -289,10 +234,10 @@ def refused(files: DataFrame, id_column: str, path_column: str, text_column: str
     return rows.withColumn("error", F.format_string(f"file too large: %d bytes, at most {max_bytes}", "size"))
 
 
-def detect_declared(files: DataFrame, id_column: str, path_column: str, text_column: str, kinds: tuple[str, ...] = tuple(patterns.MATCHERS)) -> DataFrame:
+def detect_declared(files: DataFrame, id_column: str, path_column: str, text_column: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(id, kind, value, start, stop) as ``detect`` finds them before its gates, by column expressions alone."""
     text = F.col(text_column)
-    found = F.explode(without_overlap(F.flatten(F.array(*[candidates(text, k) for k in kinds]))))
+    found = F.explode(without_overlap(F.flatten(F.array(*[candidates(text, k) for k in kinds or matchers.TABLE]))))
     rows = files.where(text.isNotNull() & ~excluded_path(base_name(F.coalesce(F.col(path_column), F.lit("")))))
     return rows.select(F.col(id_column).alias("id"), found.alias("m")).select("id", "m.*")
 
