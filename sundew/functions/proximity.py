@@ -96,8 +96,18 @@ TEST_DATA = _test_pattern()
 LABEL = "(?i)" + "|".join(rf"{label}\s*[:=\s]" for label in sorted(LABELS, key=len, reverse=True))
 
 
+#: Words of which one is in every match of a long alternation, so that plain searches decide most texts.
+GUARDS = {TEST_DATA: TEST_WORDS, LABEL: tuple(w for w in LABELS if not any(v != w and v in w for v in LABELS))}
+
+
+def guarded(text: Column, pattern: str, then: Column, otherwise: Column) -> Column:
+    """``then``, which looks for the pattern, where the pattern may match at all."""
+    return F.when(has_any(F.lower(text), GUARDS[pattern]), then).otherwise(otherwise)
+
+
 def has(text: Column, pattern: str) -> Column:
-    return text.rlike(patterns.java(pattern))
+    found = text.rlike(patterns.java(pattern))
+    return has_any(F.lower(text), GUARDS[pattern]) & found if pattern in GUARDS else found
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -138,7 +148,8 @@ def window_sizes(text: Column, start: Column, stop: Column) -> Column:
 
 def labels(text: Column) -> Column:
     """Labels of personal information in order of first appearance, each once whatever its case."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(patterns.java(LABEL)), F.lit(0)), lambda m: F.trim(F.regexp_replace(F.regexp_replace(m, r"\s+$", ""), r"[:=]+$", "")))
+    matched = guarded(text, LABEL, F.regexp_extract_all(text, F.lit(patterns.java(LABEL)), F.lit(0)), F.when(text.isNotNull(), F.array().cast("array<string>")))
+    found = F.transform(matched, lambda m: F.trim(F.regexp_replace(F.regexp_replace(m, r"\s+$", ""), r"[:=]+$", "")))
     kept = F.filter(found, lambda m: m != "")
 
     def step(out: Column, m: Column) -> Column:
@@ -149,7 +160,7 @@ def labels(text: Column) -> Column:
 
 def test_confidence(text: Column) -> Column:
     """0 without test words; else 0.3 a hit, up to 1, and 0.2 for each strong word, up to 1."""
-    hits = F.regexp_count(text, F.lit(patterns.java(TEST_DATA)))
+    hits = guarded(text, TEST_DATA, F.regexp_count(text, F.lit(patterns.java(TEST_DATA))), F.when(text.isNotNull(), 0))
     strong = reduce(lambda a, b: a + b, [F.when(F.contains(F.lower(text), F.lit(w)), 0.2).otherwise(0.0) for w in STRONG_TEST])
     return F.when(hits == 0, 0.0).otherwise(F.least(F.lit(1.0), F.least(F.lit(1.0), hits * 0.3) + strong))
 
@@ -216,7 +227,8 @@ def keywords_of_type(text: Column, kind: str) -> Column:
 def relevant_keywords(text: Column) -> Column:
     """Sorted set of labels, test words and the groups whose words occur."""
     low = F.lower(text)
-    tests = F.transform(F.regexp_extract_all(text, F.lit(patterns.java(TEST_DATA)), F.lit(0)), lambda m: F.lower(F.regexp_replace(m, "^[_-]+|[_-]+$", "")))
+    matched = guarded(text, TEST_DATA, F.regexp_extract_all(text, F.lit(patterns.java(TEST_DATA)), F.lit(0)), F.when(text.isNotNull(), F.array().cast("array<string>")))
+    tests = F.transform(matched, lambda m: F.lower(F.regexp_replace(m, "^[_-]+|[_-]+$", "")))
     groups = F.array_compact(F.array(*[F.when(contains_any(low, w), F.lit(g)) for g, w in CONTEXT_GROUPS.items()]))
     return F.array_sort(F.array_distinct(F.concat(F.transform(labels(text), F.lower), tests, groups)))
 

@@ -283,7 +283,8 @@ def rule_matches(text: Column, rule: str, rules: dict = patterns.SECRET_RULES, a
     """Matches of one rule with their offsets: nothing unless a keyword occurs (a rule without keywords always looks), and
     none that the allowlist covers."""
     pattern, keywords = rules[rule][:2]
-    found = spans.spans(text, patterns.java(pattern))
+    java = patterns.java(pattern)
+    found = F.when(text.rlike(java), spans.spans(text, java)).otherwise(F.array().cast(spans.SPAN))  # most texts have none
     if allowed:
         any_allowed = "|".join(f"(?:{patterns.java(p)})" for p in allowed)
         found = F.filter(found, lambda m: ~m["value"].rlike(any_allowed))

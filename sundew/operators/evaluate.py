@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -179,3 +179,20 @@ def detailed_report(cases: DataFrame, actual: str, detected: str, detector: str,
         pick(assessment(whole).select(detector, "grade_score", "grade"), section=F.lit("grade"), detector=F.col(detector), metric=F.lit("score"), value=F.col("grade_score"), label=F.col("grade")),
     ]
     return reduce(DataFrame.unionByName, [p.withColumn("value", F.coalesce(F.col("value").cast("double"), number)) for p in parts])
+
+
+def running_mean(samples: DataFrame, key: str, at: str, tie: str, value: str, slice_seconds: int = 86_400) -> DataFrame:
+    """Adds ``mean``: of the values of a key up to the row, in order of ``at`` (null first) and ``tie``; null values don't count.
+
+    A hot key isn't sorted in one task: rows are summed per slice of time, slices are summed up per key (as many rows as
+    there are slices), and only a slice's own rows are sorted.
+    """
+    part = F.coalesce(F.floor(F.unix_micros(at) / (slice_seconds * 1_000_000)), F.lit(-(1 << 62)))
+    rows = samples.withColumn("_slice", part)
+    sums = rows.groupBy(key, "_slice").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    done = sums.select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    own = Window.partitionBy(key, "_slice").orderBy(F.col(at).asc_nulls_first(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumns({"_os": F.coalesce(F.sum(value).over(own), F.lit(0.0)), "_on": F.count(value).over(own)})
+    joined = inner.join(done, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of")))
+    return joined.withColumn("mean", F.try_divide(F.col("_s") + F.col("_os"), F.col("_n") + F.col("_on"))).drop("_key", "_of", "_s", "_n", "_os", "_on", "_slice")

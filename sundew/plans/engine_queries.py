@@ -231,7 +231,7 @@ def code_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "string_context",
     """SELECT finding_id, (len(regexp_extract_all(s, '(?:^|[^\\\\])''')) % 2 = 1 OR len(regexp_extract_all(s, '(?:^|[^\\\\])"')) % 2 = 1) AS in_string
        FROM (SELECT finding_id, replace(replace(left(context, greatest(coalesce(col_no, 1) - 1, 0)), '''''', ''' '''), '""', '" "') AS s
-             FROM findings WHERE context IS NOT NULL AND NOT contains(context, chr(92)))""",
+             FROM findings WHERE context IS NOT NULL)""",
 )
 def string_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull())
@@ -628,11 +628,8 @@ def detection_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM scans WHERE duration_ns IS NOT NULL""",
 )
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("repo_url").orderBy("scan_started", "scan_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = table(spark, sf_dir, "scans").where(F.col("duration_ns").isNotNull())
-    return t.select("scan_id", F.round(F.avg(F.col("duration_ns") / 1e9).over(w), 6).alias("mean_seconds"))
+    t = table(spark, sf_dir, "scans").where(F.col("duration_ns").isNotNull()).select("scan_id", "repo_url", "scan_started", (F.col("duration_ns") / 1e9).alias("s"))
+    return evaluate.running_mean(t, "repo_url", "scan_started", "scan_id", "s").select("scan_id", F.round("mean", 6).alias("mean_seconds"))
 
 
 @query(
@@ -794,7 +791,7 @@ _HITS = f"len(regexp_extract_all(context, {quoted(proximity.TEST_DATA)}))"
     "context_types",
     f"""SELECT finding_id, CASE {' '.join(f"WHEN {m('context', p)} THEN '{n}'" for n, p in _TYPES)} ELSE 'production' END AS context_type,
         round(least(greatest({_CONFIDENCE}, 0), 1), 6) AS confidence, round(CASE WHEN {_HITS} = 0 THEN 0 ELSE least(1, least(1, {_HITS} * 0.3::DOUBLE) + {_STRONG}) END, 6) AS test_confidence
-        FROM findings WHERE NOT contains(context, chr(10))""",
+        FROM findings WHERE context IS NOT NULL""",
 )
 def context_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull())

@@ -89,3 +89,17 @@ def test_rule_positions_against_brute_force(spark):
                     line = t[: m.start()].count("\n") + 1
                     want.append((i, rule, m.start(), line, m.start() - (t.rfind("\n", 0, m.start()) + 1) + 1, t.split("\n")[line - 1]))
     assert got == sorted(want) and len({g[2] for g in got if g[0] == 0}) == 2
+
+
+def test_running_mean_against_brute_force(spark):
+    import random
+    from datetime import timedelta
+
+    r = random.Random(1)
+    rows = [(i, r.choice(["hot", "hot", "x", None]), None if i % 17 == 0 else datetime(2026, 1, 1) + timedelta(hours=r.randrange(200)), None if i % 11 == 0 else r.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, at timestamp, v double")
+    got = {x.id: x["mean"] for x in evaluate.running_mean(df, "k", "at", "id", "v").collect()}
+    order = lambda x: (x[2] is not None, x[2] or datetime.min, x[0])
+    for row in rows:
+        seen = [x[3] for x in rows if x[1] == row[1] and order(x) <= order(row) and x[3] is not None]
+        assert (got[row[0]] is None) == (not seen) and (not seen or abs(got[row[0]] - sum(seen) / len(seen)) < 1e-12)
