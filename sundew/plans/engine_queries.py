@@ -820,11 +820,11 @@ _STRUCT_CASE = " ".join(f"WHEN {m('s', p)} THEN '{k}'" for k, p in proximity.STR
     f"""SELECT finding_id, k AS structure, CASE WHEN k = 'json' THEN length(s) - length(replace(replace(s, chr(123), ''), '[', '')) WHEN k IN ('xml', 'html') THEN (length(s) - length(replace(s, '<', ''))) // 2
           WHEN k = 'yaml' THEN list_max(list_transform(string_split(s, chr(10)), lambda x: length(x) - length(ltrim(replace(x, chr(9), ' '))))) // 2 ELSE 0 END AS nesting
         FROM (SELECT finding_id, s, CASE {_STRUCT_CASE} ELSE 'plain_text' END AS k FROM (SELECT finding_id, {_NEAR} AS s FROM (
-            SELECT finding_id, context, instr(context, match_text) - 1 AS i, length(match_text) AS n FROM findings WHERE contains(context, match_text))))""",
+            SELECT finding_id, context, greatest(instr(context, match_text) - 1, 0) AS i, length(match_text) AS n FROM findings WHERE context IS NOT NULL AND match_text IS NOT NULL)))""",
 )
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
-    at = F.instr("context", F.col("match_text")) - 1
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
+    at = F.greatest(F.instr("context", F.col("match_text")) - 1, F.lit(0))
     s = proximity.structure(F.col("context"), at, at + F.length("match_text"))
     return t.select("finding_id", s.alias("s")).select("finding_id", F.col("s.type").alias("structure"), F.col("s.nesting").alias("nesting"))
 
@@ -841,26 +841,26 @@ _HINTS = ", ".join(f"CASE WHEN {m('s', patterns.any_of(w))} THEN '{k}' END" for
     "semantics",
     f"""SELECT finding_id, round(least(greatest({_SEM}, 0), 1), 6) AS confidence, array_to_string(list_filter([{_HINTS}], lambda x: x IS NOT NULL), '|') AS types
         FROM (SELECT finding_id, lower(substring(context, greatest(i - 100, 0) + 1, i - greatest(i - 100, 0)) || substring(context, i + n + 1, 100)) AS s FROM (
-            SELECT finding_id, context, instr(context, match_text) - 1 AS i, length(match_text) AS n FROM findings WHERE contains(context, match_text)))""",
+            SELECT finding_id, context, greatest(instr(context, match_text) - 1, 0) AS i, length(match_text) AS n FROM findings WHERE context IS NOT NULL AND match_text IS NOT NULL))""",
 )
 def semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
-    at = F.instr("context", F.col("match_text")) - 1
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
+    at = F.greatest(F.instr("context", F.col("match_text")) - 1, F.lit(0))
     s = proximity.semantics(F.col("context"), at, at + F.length("match_text"))
     return t.select("finding_id", s.alias("s")).select("finding_id", F.round("s.confidence", 6).alias("confidence"), F.array_join("s.types", "|").alias("types"))
 
 
 @query("proximity_analysis")
 def proximity_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
-    at = F.instr("context", F.col("match_text")) - 1
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
+    at = F.greatest(F.instr("context", F.col("match_text")) - 1, F.lit(0))
     a = proximity.analysis(F.col("context"), F.col("match_text"), at, at + F.length("match_text"))
     return t.select("finding_id", a.alias("a")).select("finding_id", "a.*")
 
 
 @query("enhanced_findings")
 def enhanced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
     e = proximity.enhanced(F.col("context"), F.col("match_text"), F.col("confidence"), F.col("risk_level"))
     return t.select("finding_id", e.alias("e")).select("finding_id", "e.*")
 
@@ -876,11 +876,11 @@ _BACK, _AHEAD = _WORDS.format("substring(context, greatest(i - 100, 0) + 1, i -
         SELECT *, least(t, a, f) AS d FROM (SELECT finding_id, context, {', '.join(
             f"CASE WHEN list_position(list_reverse({_BACK}), '{w}') > 0 THEN list_position(list_reverse({_BACK}), '{w}') WHEN list_position({_AHEAD}, '{w}') > 0 THEN list_position({_AHEAD}, '{w}') END AS {x}"
             for w, x in (('tfn', 't'), ('abn', 'a'), ('info', 'f')))}
-        FROM (SELECT finding_id, context, instr(context, match_text) - 1 AS i, length(match_text) AS n FROM findings WHERE contains(context, match_text))))""",
+        FROM (SELECT finding_id, context, greatest(instr(context, match_text) - 1, 0) AS i, length(match_text) AS n FROM findings WHERE context IS NOT NULL AND match_text IS NOT NULL)))""",
 )
 def nearest_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "findings").where(F.contains("context", "match_text"))
-    at = F.instr("context", F.col("match_text")) - 1
+    t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
+    at = F.greatest(F.instr("context", F.col("match_text")) - 1, F.lit(0))
     k = proximity.nearest_keyword(F.col("context"), ["tfn", "abn", "info"], at, at + F.length("match_text"))
     n = proximity.count_keywords(F.col("context"), ["tfn", "abn", "info"])
     return t.select("finding_id", k.alias("k"), n.alias("n_keywords")).select("finding_id", F.col("k.distance").alias("distance"), F.col("k.keyword").alias("keyword"), "n_keywords")
