@@ -850,19 +850,52 @@ def semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("finding_id", s.alias("s")).select("finding_id", F.round("s.confidence", 6).alias("confidence"), F.array_join("s.types", "|").alias("types"))
 
 
-@query("proximity_analysis")
+_AROUND = "substring(context, greatest(i - {n}, 0) + 1, i - greatest(i - {n}, 0)) || match_text || substring(context, i + n + 1, {n})"
+_WHY_TEST = " ".join(f"WHEN contains(lower(near), '{'demo ' if w == 'demo' else w}') THEN '{w} data indicator'" for w in proximity.TEST_REASONS)
+_CONTEXTS = (
+    ("documentation", m("win", proximity.DOCUMENTATION)), ("database", m("win", proximity.DATABASE)),
+    ("log", f"({m('win', proximity.LOG)} AND {m('win', patterns.any_of(proximity.STRONG_LOG))})"), ("config", f"({m('win', proximity.CONFIG)} AND {m('lower(win)', patterns.any_of(proximity.STRONG_CONFIG))})"),
+    ("label", m("win", proximity.LABEL)), ("form", m("win", proximity.FORM)), ("variable", m("win", proximity.VARIABLE)),
+)
+_COUNT_WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+_FOUND_LABELS = f"list_filter(list_transform(regexp_extract_all(win, {quoted(proximity.LABEL)}), lambda x: lower(trim(regexp_replace(regexp_replace(x, '\\s+$', ''), '[:=]+$', '')))), lambda x: x <> '')"
+_BEHIND = f"list_transform(list_filter({_FOUND_LABELS}, lambda x: contains(lower(bef), x)), lambda x: {_COUNT_WORDS.format('substr(lower(bef), length(bef) - instr(reverse(lower(bef)), reverse(x)) + 2)')} + 1)"
+#: Each finding's analysis: score, reason, context, is_test, distance.
+ANALYSIS = f"""
+    WITH p AS (SELECT finding_id, confidence, risk_level, context, match_text, greatest(instr(context, match_text) - 1, 0) AS i, length(match_text) AS n FROM findings WHERE context IS NOT NULL AND match_text IS NOT NULL),
+         w AS (SELECT *, {_AROUND.format(n=30)} AS near, CASE WHEN length(context) < 100 THEN context ELSE {_AROUND.format(n=50)} END AS win, substring(context, greatest(i - 50, 0) + 1, i - greatest(i - 50, 0)) AS bef FROM p),
+         c AS (SELECT *, {m('near', proximity.TEST_DATA)} AS is_test, CASE {' '.join(f"WHEN {t} THEN '{k}'" for k, t in _CONTEXTS)} ELSE 'production' END AS ctx, {_COUNT_WORDS.format('bef')} AS nw,
+                      least({_COUNT_WORDS.format('bef')}, coalesce(list_min({_BEHIND}), {_COUNT_WORDS.format('bef')})) AS near_label FROM w),
+         d AS (SELECT *, CASE WHEN ctx = 'production' THEN 5 WHEN ctx <> 'label' THEN 1 WHEN length(trim(bef)) < 20 OR nw = 0 THEN 1 WHEN near_label = nw OR near_label > 5 THEN 5 ELSE near_label END AS far FROM c),
+         a AS (SELECT *, CASE WHEN is_test THEN 0.1::DOUBLE ELSE CASE ctx {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in proximity.BASE_SCORES.items())} ELSE 0.5::DOUBLE END
+                      * CASE WHEN ctx = 'label' AND far > 2 THEN greatest(0.7::DOUBLE, 1 - (far - 2) * 0.05::DOUBLE) ELSE 1 END END AS score FROM d)
+"""
+
+
+@query(
+    "proximity_analysis",
+    ANALYSIS
+    + f"""SELECT finding_id, round(score, 9) AS score, CASE WHEN is_test THEN CASE {_WHY_TEST} ELSE 'test data indicator' END ELSE CASE ctx {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in proximity.REASONS.items())}
+            ELSE 'general context' END END AS reason, CASE WHEN is_test THEN 'test' ELSE ctx END AS context, is_test, CAST(CASE WHEN NOT is_test THEN far END AS INT) AS distance FROM a""",
+)
 def proximity_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
     at = F.greatest(F.instr("context", F.col("match_text")) - 1, F.lit(0))
     a = proximity.analysis(F.col("context"), F.col("match_text"), at, at + F.length("match_text"))
-    return t.select("finding_id", a.alias("a")).select("finding_id", "a.*")
+    return t.select("finding_id", a.alias("a")).select("finding_id", "a.*").withColumn("score", F.round("score", 9))
 
 
-@query("enhanced_findings")
+@query(
+    "enhanced_findings",
+    ANALYSIS
+    + """SELECT finding_id, round(confidence * score, 9) AS confidence, CASE WHEN is_test THEN 0.1::DOUBLE ELSE round(score, 9) END AS context_modifier, CASE WHEN is_test THEN 'LOW' ELSE risk_level END AS risk_level,
+            substring(context, greatest(i - 25, 0) + 1, i - greatest(i - 25, 0)) AS before, substring(context, i + n + 1, 25) AS after FROM a""",
+)
 def enhanced_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "findings").where(F.col("context").isNotNull() & F.col("match_text").isNotNull())
     e = proximity.enhanced(F.col("context"), F.col("match_text"), F.col("confidence"), F.col("risk_level"))
-    return t.select("finding_id", e.alias("e")).select("finding_id", "e.*")
+    out = t.select("finding_id", e.alias("e")).select("finding_id", "e.*")
+    return out.withColumns({c: F.round(c, 9) for c in ("confidence", "context_modifier")})
 
 
 _WORDS = "regexp_extract_all(lower({}), '[0-9A-Za-z_]+')"
