@@ -940,3 +940,78 @@ def generated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = joined.select(F.lit(name).alias("detector"), "is_actual", F.col("_id").isNotNull().alias("detected"), "kind", "context")
         judged = one if judged is None else judged.unionByName(one)
     return evaluate.evaluate_sets(judged, "is_actual", "detected", "detector", "kind", "context")
+
+
+# SQL of whole detection: candidates with positions, the ordered fold, gates and checks ------------------------------
+
+
+def _candidates_sql(number: int, kind: str) -> str:
+    """Accepted matches of one kind with their offsets: pieces between the matches are as long as they are apart."""
+    pattern = quoted(patterns.MATCHERS[kind])
+    value = f"regexp_extract(vals[j], {quoted(patterns.ACN_DIGITS)}, 0)" if kind == "ACN" else "vals[j]"
+    return f"""SELECT * FROM (SELECT id, {number} AS k, '{kind}' AS kind, {value} AS v, s, s + length(vals[j]) AS e FROM (
+        SELECT id, vals, j, list_sum(list_transform(gaps[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:j - 1], lambda x: length(x))), 0) AS s FROM (
+            SELECT id, vals, gaps, unnest(range(1, len(vals) + 1)) AS j FROM (
+                SELECT id, regexp_extract_all(text, {pattern}) AS vals, regexp_split_to_array(text, {pattern}) AS gaps FROM t WHERE regexp_matches(text, {pattern}))))) WHERE {ACCEPTED_SQL[kind]}"""
+
+
+_CLEAN = r"regexp_replace(v, '[\t\n\f\r /\-]', '', 'g')"
+
+
+def _valid_sql(kind: str, digits: str) -> str:
+    return f"WHEN kind = '{kind}' THEN CASE WHEN regexp_full_match(c, '{digits}') THEN {check_sql(kind, 'c')} ELSE false END"
+
+
+_VALID = " ".join(_valid_sql(k, d) for k, d in (("TFN", "[0-9]{9}"), ("ABN", "[0-9]{11}"), ("MEDICARE", "[0-9]{10,11}"), ("BSB", "[0-9]{6}"), ("ACN", "[0-9]{9}")))
+
+
+def detect_sql(source: str, key: str, path: str, gates: bool = True) -> str:
+    """Common table expressions up to ``found``: what ``detect`` gives, with all lines of the text and the line's number."""
+    parts = " UNION ALL ".join(_candidates_sql(i, k) for i, k in enumerate(patterns.MATCHERS))
+    test, mock = has_sql(window_sql(3, 3), patterns.TEST_WORDS), has_sql(window_sql(2, 2), patterns.MOCK_WORDS)
+    example = f"(regexp_matches(lines[line], '//|#|/\\*|\\*/') AND {has_sql('lines[line]', patterns.EXAMPLE_WORDS)})"
+    name = "regexp_extract(file, '[^/]*$')"
+    modifier = f"CASE WHEN regexp_matches({name}, {quoted(patterns.any_of(_TRIMMED))}) OR {glob_sql(name, patterns.TEST_PATHS + patterns.MOCK_PATHS)} THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END"
+    gate = f"WHERE NOT ((context_modifier > 0.1 AND {test}) OR {example} OR {mock})" if gates else ""
+    return f"""WITH t AS (SELECT * FROM (SELECT {key} AS id, coalesce({path}, '') AS file, text FROM {source}) WHERE text IS NOT NULL AND strlen(text) <= {patterns.MAX_FILE_SIZE}
+            AND NOT (regexp_matches({name}, {quoted(patterns.any_of(patterns.EXCLUDED_PATHS))}) OR {glob_sql(name, patterns.EXCLUDED_PATHS)})),
+        candidates AS ({parts}),
+        ordered AS (SELECT id, list([struct_pack(kind := kind, v := v, s := s, e := e)] ORDER BY k, s) AS l FROM candidates GROUP BY id),
+        folded AS (SELECT id, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda r: (x[1].s >= r.s AND x[1].s < r.e) OR (x[1].e > r.s AND x[1].e <= r.e))) > 0
+            THEN acc ELSE list_concat(acc, x) END) AS l FROM ordered),
+        kept AS (SELECT id, m.kind AS kind, m.v AS v, CAST(m.s AS INT) AS s, CAST(m.e AS INT) AS e FROM (SELECT id, unnest(l) AS m FROM folded)),
+        placed AS (SELECT kept.*, file, text, {_CLEAN} AS c, length(left(text, s)) - length(replace(left(text, s), chr(10), '')) + 1 AS line, string_split(text, chr(10)) AS lines, {modifier} AS context_modifier
+            FROM kept JOIN t USING (id)),
+        judged AS (SELECT *, CASE {_VALID} END AS ok, CASE {' '.join(f"WHEN kind = '{k}' THEN {w}" for k, w in patterns.RISK_WEIGHTS.items())} ELSE 0 END AS w FROM placed {gate}),
+        found AS (SELECT id, file, kind, v AS value, s AS start, e AS stop, CAST(line AS INT) AS line, text, lines, context_modifier,
+            CAST(s - CASE WHEN line > 1 THEN length(array_to_string(lines[1:line - 1], chr(10))) + 1 ELSE 0 END + 1 AS INT) AS col,
+            substring(text, greatest(s - 50, 0) + 1, s - greatest(s - 50, 0)) AS context_before, substring(text, e + 1, 50) AS context_after,
+            CASE WHEN ok IS NULL THEN 0.8::DOUBLE WHEN ok THEN 0.95::DOUBLE ELSE 0.5::DOUBLE END AS confidence, coalesce(ok, false) AS validated,
+            CASE WHEN w >= 90 THEN 'HIGH' WHEN w >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, 'pattern-detector' AS detector_name FROM judged)
+    """
+
+
+ORACLE["detect_findings"] = detect_sql(SNIPPETS, "finding_id", "file_path") + "SELECT * EXCLUDE (text, lines) FROM found"
+ORACLE["detect_files"] = detect_sql("(SELECT file_id, rel_path, file_text AS text FROM files)", "file_id", "rel_path") + "SELECT * EXCLUDE (text, lines) FROM found"
+_ALL = ("id", "file", "kind", "value", "risk_level", "confidence", "context_modifier", "detector_name")
+ORACLE["detect_all"] = (
+    detect_sql(SNIPPETS, "finding_id", "file_path")
+    + f"""SELECT {', '.join(_ALL)} FROM found UNION ALL SELECT r.id, p.file_path, kind, value, risk_level, 0.9::DOUBLE, CASE WHEN regexp_matches(lower(file_path), 'test|spec|mock') THEN 0.1::DOUBLE
+        WHEN regexp_matches(lower(file_path), 'example|sample') THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, 'gitleaks-detector' FROM ({ORACLE['rule_findings']}) r JOIN {SNIPPETS} p ON r.id = p.finding_id"""
+)
+_OPEN_QUOTE = "len(regexp_extract_all({s}, '(?:^|[^\\\\]){q}')) % 2 = 1"
+_BEFORE_COL = "replace(replace(left(lines[line], greatest(col - 1, 0)), chr(39) || chr(39), chr(39) || ' ' || chr(39)), chr(34) || chr(34), chr(34) || ' ' || chr(34))"
+_SHAPE_TEXT = window_sql(5, 6)
+ORACLE["detect_validated"] = (
+    detect_sql(SNIPPETS, "finding_id", "file_path")
+    + f""", second AS (SELECT *, confidence AS detector_confidence,
+            ({' OR '.join(f"(instr(lines[line], {quoted(x)}) > 0 AND instr(lines[line], {quoted(x)}) - 1 < col)" for x in patterns.COMMENT_SIGNS)}) AS in_comment,
+            ({_OPEN_QUOTE.format(s=_BEFORE_COL, q="''")} OR {_OPEN_QUOTE.format(s=_BEFORE_COL, q='"')}) AS in_string,
+            CASE {' '.join(f"WHEN lower(regexp_extract(file, '\\.([^./]*)$', 1)) = '{k}' THEN '{v}'" for k, v in patterns.LANGUAGES.items())} ELSE 'unknown' END AS language,
+            ({has_sql('file', patterns.TEST_FILE_WORDS)} OR {has_sql(window_sql(5, 6), patterns.TEST_INDICATORS)}) AS is_test_data, {has_sql(window_sql(5, 6), patterns.MOCK_INDICATORS)} AS is_mock_data,
+            CASE {_CONTEXT_CASE} ELSE false END AS has_context, {has_sql(window_sql(5, 6), patterns.FAKE_INDICATORS)} AS fake,
+            CASE WHEN regexp_matches(value, {quoted(patterns.CODE_SHAPES['sequential'])}) THEN 'sequential' WHEN regexp_matches(value, {quoted(patterns.CODE_SHAPES['uuid'])}) THEN 'uuid'
+                WHEN regexp_matches(value, {quoted(patterns.CODE_SHAPES['hash'])}) THEN 'hash' WHEN regexp_matches(lower({_SHAPE_TEXT}), 'const|var|let|=') THEN 'variable' ELSE 'none' END AS code_shape FROM found)
+        SELECT * EXCLUDE (text, lines, fake, confidence), CASE WHEN has_context THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END AS confidence,
+            CASE WHEN has_context THEN 'Valid context found' ELSE 'Pattern match' END AS reason FROM second WHERE NOT (in_comment AND fake) AND code_shape NOT IN ('uuid', 'hash')"""
+)
