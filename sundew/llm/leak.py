@@ -109,6 +109,8 @@ class ItemIndex:
         self.codes, starts = flat(texts, Coder())
         self.firsts = window_starts(starts, size)
         self.owner = np.array(ids, np.int64)[np.searchsorted(starts, self.firsts, "right") - 1] if len(self.firsts) else np.zeros(0, np.int64)
+        self.words = np.zeros(1 << 22, bool)
+        self.words[(self.codes >> np.uint64(42)).astype(np.int64)] = True
         self.keys, self.windows, self.seen = [], [], []
         for r in range(repetitions):
             keys = cgk_keys(self.codes, self.firsts, size, r, samples)
@@ -139,10 +141,14 @@ class ItemIndex:
 
     def verified(self, codes: np.ndarray, firsts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document window, item id, edit distance) of the candidates within ``most`` word edits of a run of words around
-        the window; ``codes`` has ``most`` words before and after each window."""
-        a, b = self.candidates(codes, firsts)
+        the window; ``codes`` has ``most`` words before and after each window.  Windows with too few words of any item can't
+        be near one and get no key."""
+        held = np.concatenate([[0], np.cumsum(self.words[(codes >> np.uint64(42)).astype(np.int64)])])
+        may = np.flatnonzero(held[firsts + self.size + most] - held[firsts - most] >= self.size - most)
+        a, b = self.candidates(codes, firsts[may])
         if not len(a):
             return a, b, b
+        a = may[a]
         distance = np.empty(len(a), np.int64)
         for i in range(0, len(a), 200_000):
             x, y = a[i : i + 200_000], b[i : i + 200_000]

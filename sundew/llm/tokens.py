@@ -1,7 +1,8 @@
 """Encoding of texts by a public byte-level BPE tokenizer, in Arrow batches, and decoding by the byte table.
 
 Cases: null and empty texts both give empty lists; special tokens' strings in a text are ordinary text; very long texts
-are encoded whole.  The vocabulary's path is a parameter and is read once per worker process.
+are encoded whole.  The vocabulary's path is a parameter; the file is sent to the
+executors and read once per worker process.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +22,20 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 GROUP_CHARS = 1 << 20
 
 
+def shipped(spark: SparkSession, path: str) -> None:
+    """Sends the vocabulary file to the executors, unless all is one machine; a file that the driver lacks must be there."""
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and os.path.exists(path) and os.path.basename(path) not in map(os.path.basename, context.listFiles):
+        context.addFile(path)
+
+
 def _tokenizer(path: str):
     def build():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         t.encode_special_tokens = True
         return t
 
@@ -56,6 +65,7 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def encode(df: DataFrame, id_column: str, text_column: str, path: str = DEFAULT_VOCABULARY, offsets: bool = False) -> DataFrame:
     """(id, ids) of each row; with ``offsets`` also ``starts``, each token's first character in the text."""
+    shipped(df.sparkSession, path)
     fields = [T.StructField(id_column, T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType(fields + [T.StructField("starts", T.ArrayType(T.IntegerType()))] * offsets)
 
@@ -77,6 +87,7 @@ def encode(df: DataFrame, id_column: str, text_column: str, path: str = DEFAULT_
 def decode(df: DataFrame, id_column: str, ids_column: str = "ids", path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(id, text, whole): the text of each id list.  Bytes that form no whole character, as when a list was cut inside
     one, become U+FFFD and ``whole`` is false.  Null lists give an empty text; unknown ids fail."""
+    shipped(df.sparkSession, path)
     schema = T.StructType([T.StructField(id_column, T.LongType()), T.StructField("text", T.StringType()), T.StructField("whole", T.BooleanType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
