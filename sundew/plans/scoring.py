@@ -63,6 +63,19 @@ VISIBILITY = {
 PUBLIC_FACTOR, PRODUCTION_FACTOR, SENSITIVE_PATH_FACTOR = 1.3, 1.5, 1.2
 IMPACT_WEIGHTS = {"sensitivity": 0.25, "financial": 0.25, "regulatory": 0.25, "reputational": 0.15, "scale": 0.10}
 RISK_WEIGHTS = (0.4, 0.3, 0.3)
+SCALE_FACTORS = ((1000, 2.0), (100, 1.5), (10, 1.2))
+REGULATORY_FLOORS = {"regulated": 0.8, "other": 0.5, "financial": 0.9, "identity": 0.85}
+REPUTATION = {"stars over 100": 1.2, "stars over 1000": 1.5, "each incident": 0.1, "high value": 1.3}
+PEOPLE_SHARES = ((0, 0.0), (10, 0.3), (100, 0.6), (1000, 0.8))
+COMPLEXITY = {"public": -0.3, "test": 0.3, "configuration": -0.2, "source": 0.1, "known path": -0.1, "validated": -0.2, "other types": -0.1}
+THREAT = {"high value": 0.2, "stars over 1000": 0.1, "regulated": 0.2, "incident in six months": 0.1}
+REACH = {"main branch": 0.1, "common path": 0.05, "large file": 0.05}
+ACCESS = {"public": 0.9, "private": 0.5, "test factor": 0.5}
+MATURITY = {"high": 0.2, "medium": 0.1, "low": -0.1}
+CONTROLS = {"public": 0.1, "private": 0.5, "security team": 0.2, "regulated": 0.2, "pipeline": 0.1, "share": 0.5}
+AGE_FACTORS = ((180, 1.3), (90, 1.2), (30, 1.1))
+EXPOSURE = {"high value": 1.2, "contributors over 10": 1.1, "contributors over 50": 1.2, "forks over 10": 1.1, "forks over 100": 1.3}
+LIKELIHOOD = {"public": 1.5, "security team": 0.7, "open to all": 1.3, "regulated without pipeline": 0.6, "each incident": 0.15, "most incidents": 2.0, "stale": 1.2}
 
 #: Columns that ``risk`` reads besides those of a finding, with their types.
 RISK_INPUTS = """is_public boolean, stars int, forks int, contributors int, last_commit timestamp, default_branch string, has_cicd boolean,
@@ -250,15 +263,21 @@ def impact() -> dict[str, Column]:
     kind, stars, incidents = F.col("kind"), F.col("stars"), F.coalesce("incidents", F.lit(0))
     records = record_count()
     people = affected_people(records)
-    scale = F.when(records > 1000, 2.0).when(records > 100, 1.5).when(records > 10, 1.2).otherwise(1.0)
+    scale = F.lit(1.0)
+    for least, factor in reversed(SCALE_FACTORS):
+        scale = F.when(records > least, factor).otherwise(scale)
     financial = clamp(lookup(kind, FINANCIAL, F.lit(0.3)) * scale)
-    floor = F.when(F.col("regulated"), 0.8).otherwise(0.5)
-    floor = F.greatest(floor, F.when(kind.isin(*FINANCIAL_TYPES), 0.9).otherwise(0.0), F.when(kind.isin(*IDENTITY_TYPES), 0.85).otherwise(0.0))
+    floors = REGULATORY_FLOORS
+    floor = F.when(F.col("regulated"), floors["regulated"]).otherwise(floors["other"])
+    floor = F.greatest(floor, F.when(kind.isin(*FINANCIAL_TYPES), floors["financial"]).otherwise(0.0), F.when(kind.isin(*IDENTITY_TYPES), floors["identity"]).otherwise(0.0))
     regulatory = clamp(floor * lookup(F.col("industry"), INDUSTRIES, F.lit(1.0)))
-    reputational = clamp(
-        boosted(F.lit(0.5), [(F.col("is_public"), PUBLIC_FACTOR), (stars > 100, 1.2), (stars > 1000, 1.5), (incidents > 0, 1.0 + 0.1 * incidents), (kind.isin(*HIGH_VALUE), 1.3)])
-    )
-    share = F.when(people <= 0, 0.0).when(people <= 10, 0.3).when(people <= 100, 0.6).when(people <= 1000, 0.8).otherwise(1.0)
+    r = REPUTATION
+    steps = [(F.col("is_public"), PUBLIC_FACTOR), (stars > 100, r["stars over 100"]), (stars > 1000, r["stars over 1000"])]
+    steps += [(incidents > 0, 1.0 + r["each incident"] * incidents), (kind.isin(*HIGH_VALUE), r["high value"])]
+    reputational = clamp(boosted(F.lit(0.5), steps))
+    share = F.lit(1.0)
+    for most, part in reversed(PEOPLE_SHARES):
+        share = F.when(people <= most, part).otherwise(share)
     parts = {"sensitivity": lookup(kind, SENSITIVITY, F.lit(0.5)), "financial": financial, "regulatory": regulatory, "reputational": reputational, "scale": share}
     total = clamp(reduce(lambda a, b: a + b, [parts[n] * w for n, w in IMPACT_WEIGHTS.items()]))
     return {"impact": total, "affected": people, "financial_impact": financial, "regulatory_impact": regulatory}
@@ -269,17 +288,20 @@ def likelihood(now: Column) -> Column:
     others = F.coalesce(F.size("co_types"), F.lit(0))
     complexity = summed(
         0.5,
-        [(c("is_public"), -0.3), (c("is_test_file"), 0.3), (c("is_configuration"), -0.2), (c("is_source") & ~c("is_configuration"), 0.1),
-         (path.rlike(patterns.any_of(KNOWN_PATHS)), -0.1), (c("validated"), -0.2), (others > 2, -0.1)],
+        [(c("is_public"), COMPLEXITY["public"]), (c("is_test_file"), COMPLEXITY["test"]), (c("is_configuration"), COMPLEXITY["configuration"]),
+         (c("is_source") & ~c("is_configuration"), COMPLEXITY["source"]), (path.rlike(patterns.any_of(KNOWN_PATHS)), COMPLEXITY["known path"]),
+         (c("validated"), COMPLEXITY["validated"]), (others > 2, COMPLEXITY["other types"])],
     )
-    threat = clamp(
-        summed(0.5, [(c("kind").isin(*HIGH_VALUE), 0.2), (c("stars") > 1000, 0.1), (c("regulated"), 0.2), (c("last_incident") > F.add_months(now, -6), 0.1)])
-    )
+    recent = c("last_incident") > F.add_months(now, -6)
+    threats = [(c("kind").isin(*HIGH_VALUE), "high value"), (c("stars") > 1000, "stars over 1000"), (c("regulated"), "regulated"), (recent, "incident in six months")]
+    threat = clamp(summed(0.5, [(t, THREAT[n]) for t, n in threats]))
     private = ~F.coalesce("is_public", F.lit(False))
     cicd, incidents = F.coalesce("has_cicd", F.lit(False)), F.coalesce("incidents", F.lit(0))
     steps = [
-        (c("is_public"), 1.5), (private & c("has_security_team"), 0.7), (c("is_public"), 1.3), (private & ~cicd & c("regulated"), 0.6),
-        (incidents > 0, F.least(1.0 + 0.15 * incidents, F.lit(2.0))), (c("last_commit") < now - F.expr("INTERVAL 365 DAYS"), 1.2),
+        (c("is_public"), LIKELIHOOD["public"]), (private & c("has_security_team"), LIKELIHOOD["security team"]), (c("is_public"), LIKELIHOOD["open to all"]),
+        (private & ~cicd & c("regulated"), LIKELIHOOD["regulated without pipeline"]),
+        (incidents > 0, F.least(1.0 + LIKELIHOOD["each incident"] * incidents, F.lit(LIKELIHOOD["most incidents"]))),
+        (c("last_commit") < now - F.expr("INTERVAL 365 DAYS"), LIKELIHOOD["stale"]),
         (c("is_production"), PRODUCTION_FACTOR), (path.rlike(patterns.any_of(SENSITIVE_PATHS)), SENSITIVE_PATH_FACTOR),
     ]
     return clamp(boosted(clamp(1.0 - complexity) * (0.5 + 0.5 * threat), steps))
@@ -305,14 +327,21 @@ def encryption() -> Column:
 def exposure(now: Column) -> Column:
     c, path = F.col, F.lower("file")
     days = F.coalesce(F.floor((now.cast("long") - c("last_commit").cast("long")) / 86400), F.lit(0))
-    reach = summed(0.0, [(c("default_branch").isin("main", "master"), 0.1), (path.rlike(patterns.any_of(COMMON_PATHS)), 0.05), (c("file_size") > 100 * 1024, 0.05)])
-    access = clamp((F.when(c("is_public"), 0.9).otherwise(0.5) + reach) * F.when(c("is_test_file"), 0.5).otherwise(1.0))
-    maturity = lookup(c("maturity"), {"high": 0.2, "medium": 0.1, "low": -0.1}, F.lit(0.0))
-    controls = F.when(c("is_public"), 0.1).otherwise(clamp(summed(0.5, [(c("has_security_team"), 0.2), (c("regulated"), 0.2), (c("has_cicd"), 0.1)]) + maturity))
-    age = F.when(days > 180, 1.3).when(days > 90, 1.2).when(days > 30, 1.1).otherwise(1.0)
-    base = access * lookup(visibility(), VISIBILITY, F.lit(1.0)) * age * lookup(encryption(), ENCRYPTION, F.lit(1.0)) * (1.0 - 0.5 * controls)
-    steps = [(c("kind").isin(*HIGH_VALUE), 1.2), (c("contributors") > 10, 1.1), (c("contributors") > 50, 1.2), (c("forks") > 10, 1.1), (c("forks") > 100, 1.3)]
-    return clamp(boosted(base, steps))
+    reach = summed(
+        0.0,
+        [(c("default_branch").isin("main", "master"), REACH["main branch"]), (path.rlike(patterns.any_of(COMMON_PATHS)), REACH["common path"]), (c("file_size") > 100 * 1024, REACH["large file"])],
+    )
+    access = clamp((F.when(c("is_public"), ACCESS["public"]).otherwise(ACCESS["private"]) + reach) * F.when(c("is_test_file"), ACCESS["test factor"]).otherwise(1.0))
+    k = CONTROLS
+    private = summed(k["private"], [(c("has_security_team"), k["security team"]), (c("regulated"), k["regulated"]), (c("has_cicd"), k["pipeline"])])
+    controls = F.when(c("is_public"), k["public"]).otherwise(clamp(private + lookup(c("maturity"), MATURITY, F.lit(0.0))))
+    age = F.lit(1.0)
+    for least, factor in reversed(AGE_FACTORS):
+        age = F.when(days > least, factor).otherwise(age)
+    base = access * lookup(visibility(), VISIBILITY, F.lit(1.0)) * age * lookup(encryption(), ENCRYPTION, F.lit(1.0)) * (1.0 - k["share"] * controls)
+    steps = [(c("kind").isin(*HIGH_VALUE), "high value"), (c("contributors") > 10, "contributors over 10"), (c("contributors") > 50, "contributors over 50")]
+    steps += [(c("forks") > 10, "forks over 10"), (c("forks") > 100, "forks over 100")]
+    return clamp(boosted(base, [(test, EXPOSURE[n]) for test, n in steps]))
 
 
 def risk_level(x: Column) -> Column:

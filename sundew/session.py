@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 
@@ -30,7 +32,10 @@ def durable(df: DataFrame) -> DataFrame:
         configured = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if configured is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sundew-ckpt-"))
+        if configured is None:
+            configured = tempfile.mkdtemp(prefix="sundew-ckpt-")
+            atexit.register(shutil.rmtree, configured, True)
+        sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
 
 
