@@ -350,34 +350,48 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.text_stats(t, "file_text").select("file_id", "n_bytes", "n_lines")
 
 
-_GITHUB = "regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+', 'https://github.com')"
-_ADDRESSES = f"""(SELECT clone_id, url FROM repositories WHERE url IS NOT NULL UNION ALL SELECT clone_id, {_GITHUB} FROM repositories WHERE url IS NOT NULL
-    UNION ALL SELECT clone_id, regexp_replace({_GITHUB}, '^https://github.com/', 'git@github.com:') FROM repositories WHERE url IS NOT NULL)"""
 _FORMS = [("web", repositories.WEB), ("ssh", repositories.SSH), ("short", repositories.SHORT)]
 
 
-@query(
-    "repository_addresses",
-    rf"""SELECT clone_id, url, CASE {' '.join(f"WHEN regexp_matches(b, {quoted(p)}) THEN regexp_extract(b, {quoted(p)}, 1)" for _, p in _FORMS)} END AS owner,
+def addresses_sql(source: str) -> str:
+    return rf"""SELECT clone_id, url, CASE {' '.join(f"WHEN regexp_matches(b, {quoted(p)}) THEN regexp_extract(b, {quoted(p)}, 1)" for _, p in _FORMS)} END AS owner,
         CASE {' '.join(f"WHEN regexp_matches(b, {quoted(p)}) THEN regexp_extract(b, {quoted(p)}, 2)" for _, p in _FORMS)} END AS name,
         (regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') AND (NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://github\.com(?:[/?#]|$)')
             OR regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://github\.com/+[^/]+/'))) AS valid,
         (starts_with(url, 'https://') AND length(url) > 8) AS is_https
-        FROM (SELECT clone_id, url, regexp_replace(url, '\.git$', '') AS b FROM {_ADDRESSES})""",
-)
-def repository_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The addresses as stored, and the same with their host replaced by the one whose forms have rules of their own."""
-    t = table(spark, sf_dir, "repositories").where(F.col("url").isNotNull()).select("clone_id", "url")
-    github = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/]+", "https://github.com")
-    web = t.withColumn("url", github)
-    every = t.unionByName(web).unionByName(web.withColumn("url", F.regexp_replace("url", "^https://github.com/", "git@github.com:")))
+        FROM (SELECT clone_id, url, regexp_replace(url, '\.git$', '') AS b FROM {source})"""
+
+
+def addresses(urls: DataFrame) -> DataFrame:
     u = F.col("url")
     who = repositories.owner_and_name(u)
-    return every.select(
+    return urls.select(
         "clone_id", "url", who["owner"].alias("owner"), who["name"].alias("name"), repositories.valid_url(u).alias("valid"), repositories.https_url(u).alias("is_https")
     )
 
 
+@query("repository_addresses", addresses_sql("(SELECT clone_id, url FROM repositories WHERE url IS NOT NULL)"))
+def repository_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses(table(spark, sf_dir, "repositories").where(F.col("url").isNotNull()))
+
+
+_GITHUB = "regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+', 'https://github.com')"
+
+
+@query(
+    "hosted_addresses",
+    addresses_sql(
+        f"""(SELECT clone_id, {_GITHUB} AS url FROM repositories WHERE url IS NOT NULL
+             UNION ALL SELECT clone_id, regexp_replace({_GITHUB}, '^https://github.com/', 'git@github.com:') FROM repositories WHERE url IS NOT NULL)"""
+    ),
+)
+def hosted_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored addresses with their host replaced by the one whose web and SSH forms have rules of their own."""
+    t = table(spark, sf_dir, "repositories").where(F.col("url").isNotNull()).select("clone_id", "url")
+    web = t.withColumn("url", F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/]+", "https://github.com"))
+    return addresses(web.unionByName(web.withColumn("url", F.regexp_replace("url", "^https://github.com/", "git@github.com:"))))
+
+
 # Identifiers --------------------------------------------------------------------------------------------------------
 
 
