@@ -428,7 +428,12 @@ def training_rows(seed: int = 11) -> list[tuple[list[tuple[str, bool]], bool]]:
     word = lambda: (pick(starts) + pick(starts) + pick(ends)).capitalize()
     things = [w.capitalize() for w in THING_WORDS]
     rows: list[tuple[list[tuple[str, bool]], bool]] = [([(f"{word().lower()} at {word()} {word()} {pick(('soon', 'again', 'here'))}", False)], False) for _ in range(TRAINING_ROWS // 5)]
-    rows += [([(f"{word().lower()} {word()}", False)], True) for _ in range(TRAINING_ROWS // 30)]
+    for _ in range(TRAINING_ROWS // 10):  # bare matches that the type alone speaks for
+        person = bool(rng.integers(2))
+        second = word() if person else pick(things)
+        rows.append(([(f"{second}, {word()}" if rng.integers(4) == 0 else f"{word()} {second}", person)], True))
+        name = f"{word()} {word()}"  # a thing that only its cue tells
+        rows.append(([(name, False), (f"{pick(THING_CUES)}: {name}", False)], True))
     for _ in range(TRAINING_ROWS):
         person = bool(rng.integers(2))
         first, second = word(), word() if person else pick(things)
