@@ -132,6 +132,25 @@ def _number_sql(node: str, *path: str) -> str:
     return f"CASE WHEN json_type({at}) IN ('UBIGINT', 'BIGINT') THEN CAST({at} AS BIGINT) END"
 
 
+def _variant_sql(kind: str, node: str) -> str:
+    """The variant of a node by the grammar: the shape of each field, then the scalars that it has."""
+    fields, scalars = nested.SARIF_GRAMMAR[kind]
+    parts = []
+    for name in fields:
+        j = f"json_extract({node}, '$.{name}')"
+        some = f"len(list_filter(CAST({j} AS JSON[]), lambda x: json_type(x) = 'OBJECT')) > 0"
+        parts.append(
+            f"'{name}:' || CASE WHEN {j} IS NULL THEN 'absent' ELSE CASE json_type({j}) WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN "
+            f"CASE WHEN json_array_length({j}) = 0 THEN 'empty' WHEN {some} THEN 'array' ELSE 'hollow' END ELSE 'other' END END"
+        )
+    for name, path in scalars.items():
+        t = f"json_type(json_extract({node}, '$.{'.'.join(path)}'))"
+        has = f"{t} IN ('UBIGINT', 'BIGINT')" if name in nested.NUMBERS else f"{t} = 'BOOLEAN'" if name in nested.FLAGS else f"{t} <> 'NULL'"
+        parts.append(f"CASE WHEN {has} THEN '+{name}' END")
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+_NODES = {"report": ("reports", "o"), "run": ("runs", "run"), "result": ("results", "result"), "location": ("locations", "location"), "invocation": ("invocations", "invocation"), "fix": ("fixes", "fix")}
 _URI = _path_sql("location", "physicalLocation", "artifactLocation", "uri")
 
 
@@ -141,6 +160,9 @@ ORACLE = {
         UNION ALL SELECT 'result', report_id, run_no, result_no, -1, '' FROM results ANTI JOIN locations USING (report_id, run_no, result_no)
         UNION ALL SELECT 'finding', result_id, -1, i - 1, -1, coalesce(findings[i].pi_type, '') FROM (SELECT result_id, findings, unnest(range(1, len(findings) + 1)) AS i FROM scan_results) WHERE findings[i] IS NOT NULL
         UNION ALL SELECT 'stat', result_id, -1, -1, -1, unnest(map_keys(stats.findings_by_type)) FROM scan_results""",
+    "p2_variants": SHREDDED
+    + f""", invocations AS {_children_sql('runs', 'report_id, run_no', 'run', 'invocations', 'n', 'invocation')}, fixes AS {_children_sql('results', 'report_id, run_no, result_no', 'result', 'fixes', 'n', 'fix')}
+        SELECT kind, variant, count(*) AS n_nodes FROM ({' UNION ALL '.join(f"SELECT '{k}' AS kind, {_variant_sql(k, node)} AS variant FROM {source}" for k, (source, node) in _NODES.items())}) GROUP BY ALL""",
     "p2_results": SHREDDED
     + f"""SELECT report_id AS record_id, CAST(run_no AS INT) AS run_no, CAST(result_no AS INT) AS result_no, {_path_sql('result', 'ruleId')} AS rule, {_path_sql('result', 'level')} AS level,
         {_path_sql('result', 'message', 'text')} AS message FROM results SEMI JOIN locations USING (report_id, run_no, result_no)""",
