@@ -10,7 +10,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from sundew.session import once
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Texts go to the library in groups of about this many characters, so that a batch's token objects stay small.
 GROUP_CHARS = 1 << 20
+GROUP_TOKENS = 1 << 22
 
 
 def shipped(spark: SparkSession, path: str) -> None:
@@ -91,21 +94,30 @@ def decode(df: DataFrame, id_column: str, ids_column: str = "ids", path: str = D
     schema = T.StructType([T.StructField(id_column, T.LongType()), T.StructField("text", T.StringType()), T.StructField("whole", T.BooleanType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def build() -> dict[int, bytes]:
+        def build() -> pa.Array:
             table = byte_table()
-            return {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in _tokenizer(path).get_vocab().items()}
+            found = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in _tokenizer(path).get_vocab().items()}
+            return pa.array([found.get(i) for i in range(max(found) + 1)], pa.binary())
 
         pieces = once(("pieces", path), build)
         for batch in batches:
-            texts, whole = [], []
-            for ids in batch.column(1).to_pylist():
-                raw = b"".join([pieces[i] for i in ids or ()])
+            lists = pc.fill_null(batch.column(1), [])
+            sizes = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(lists):  # so many tokens at a time that their bytes fit one array; a longer list comes alone
+                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + GROUP_TOKENS, "right")))
+                part = lists.slice(start, stop - start)
+                found = pieces.take(part.flatten())
+                if found.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))])
+                raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), b"")
                 try:
-                    texts.append(raw.decode())
-                    whole.append(True)
-                except UnicodeDecodeError:
-                    texts.append(raw.decode(errors="replace"))
-                    whole.append(False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(whole, pa.bool_())], [id_column, "text", "whole"])
+                    texts, whole = raw.cast(pa.string()), pa.array(np.ones(len(raw), bool))
+                except pa.ArrowInvalid:
+                    each = [(x, x.decode(errors="replace")) for x in raw.to_pylist()]
+                    texts, whole = pa.array([t for _, t in each], pa.string()), pa.array([t.encode() == x for x, t in each])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), texts, whole], [id_column, "text", "whole"])
+                start = stop
 
     return df.select(F.col(id_column).cast("bigint").alias(id_column), F.col(ids_column).cast("array<int>")).mapInArrow(kernel, schema)
