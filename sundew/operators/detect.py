@@ -19,6 +19,7 @@ from sundew.functions import checksums, patterns, spans
 from sundew.functions.let import has_any
 from sundew.functions.masking import lookup
 from sundew.operators import matchers
+from sundew.session import slices
 
 SPAN = "array<struct<kind:string,value:string,start:int,stop:int>>"
 
@@ -204,7 +205,7 @@ def detect(
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = compiled_matchers(table)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             out: list[tuple] = []
             for rid, path, text in zip(*[c.to_pylist() for c in batch.columns]):
                 kept = found_in(text, compiled)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sundew.session import slices
+
 #: kind -> (fields leading to child kinds, scalars kept by name and path); scalars named in NUMBERS are whole numbers
 SARIF_GRAMMAR = {
     "report": ({"runs": "run"}, {"version": ("version",)}),
@@ -171,8 +173,7 @@ def shred(df: DataFrame, id_column: str, body_column: str, grammar: dict = SARIF
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):  # bodies become objects some at a time
-                batch = whole.slice(at, 200)
+            for batch in slices(whole, 1):
                 out: list[tuple] = []
                 for rid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     root = unwrap(body)

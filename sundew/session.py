@@ -7,7 +7,11 @@ import os
 import shutil
 import sys
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +43,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and about ``size`` bytes of the text column, so that what becomes Python
+    objects at a time stays bounded; a longer text comes alone and whole."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        held = n[start - 1] if start else 0
+        stop = min(max(start + 1, int(np.searchsorted(n, held + size, "right"))), start + rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def once(key: object, build):
     """The value that ``build()`` gave the first time this Python process asked for ``key``.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sundew.functions import masking
 from sundew.functions.masking import lookup
+from sundew.session import durable
 
 # Rules of the SARIF report, in order of their index: id, type, level.
 SARIF_RULES = (
@@ -376,7 +377,8 @@ def html_page(findings: DataFrame, title: str, top: int = 10, shown: int = 100)
     To the driver come a row per member of a distribution and the rows that are shown; file types beyond the hundred most
     frequent are summed up.
     """
-    members = [r for d in SECTIONS for r in distributions(findings).where(F.col("dimension") == d).orderBy(F.desc("n"), "member").limit(100).collect()] if not findings.isEmpty() else []
+    counts = durable(distributions(findings))  # a few rows, read once per section
+    members = [r for d in SECTIONS for r in counts.where(F.col("dimension") == d).orderBy(F.desc("n"), "member").limit(100).collect()]
     total, valid = findings.agg(F.count(F.lit(1)).alias("n"), F.count_if("validated").alias("v")).first()
     levels = {r.member: r.n for r in members if r.dimension == "risk"}
     files = findings.groupBy("file").count().orderBy(F.desc("count"), "file").limit(top).collect()

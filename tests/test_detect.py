@@ -115,3 +115,15 @@ def test_proximity(spark):
     rows = df.select(proximity.analysis(F.col("t"), F.lit("123456782"), at, at + 9).alias("a")).select("a.*").collect()
     assert [(r.context, r.score) for r in rows] == [("label", 0.9), ("test", 0.1), ("database", 0.8), ("production", 0.8)]
     assert rows[1].reason == "mock data indicator"
+
+
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from sundew.session import slices
+
+    texts = ["a" * 10, None, "b" * 100, "", "c" * 5, "d" * 5, "e" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    parts = [p.column(1).to_pylist() for p in slices(batch, 1, 3, 12)]
+    assert sum(parts, []) == texts and all(len(p) <= 3 and (len(p) == 1 or sum(len(x or "") for x in p) <= 12) for p in parts)
+    assert list(slices(batch.slice(0, 0), 1)) == []
