@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sundew.session import durable, shuffle_tasks
+from sundew.session import shuffle_tasks
 
 BUCKETS_PER_TASK = 16
 
@@ -93,16 +93,15 @@ def pack(heavy: list[tuple[str, int]], buckets: list[int], tasks: int) -> ShardP
 
 
 def plan_columns(df: DataFrame, columns: list[str], tasks: int) -> dict[str, ShardPlan]:
-    """A plan for the non-null values of each column: one counting pass for all, then bin packing.
+    """A plan for the non-null values of each column: one counting pass per key for all of them, then bin packing.
 
     To the driver come, per column, at most ``tasks`` heavy keys (each holds more than 1/tasks of the rows),
     ``BUCKETS_PER_TASK * tasks`` bucket sums and the number of nulls.
     """
     n_buckets = BUCKETS_PER_TASK * tasks
-    loads = durable(key_loads(df, columns))  # small against the table, and read twice
-    totals = {r.key_kind: (r.total or 0, r.nulls or 0) for r in loads.groupBy("key_kind").agg(
-        F.sum(F.when(F.col("key_value").isNotNull(), F.col("load"))).alias("total"), F.sum(F.when(F.col("key_value").isNull(), F.col("load"))).alias("nulls")
-    ).collect()}
+    loads = key_loads(df, columns)
+    sums = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    totals = {c: (sums[f"_{i}"], sums["_rows"] - sums[f"_{i}"]) for i, c in enumerate(columns)}
     total = F.lit(0)
     for c, (n, _) in totals.items():
         total = F.when(F.col("key_kind") == c, n).otherwise(total)
